@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def pieces(text: pa.Array, size: int = PIECE) -> list[tuple[int, int]]:
     """Row ranges of about size bytes each."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     mark = np.cumsum(lengths) // size
     cuts = np.flatnonzero(np.diff(mark)) + 1
     edges = [0, *cuts.tolist(), len(text)]
