@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, secrets
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.digest(findings)
+
+
+ORACLES["op7_secret_ledger"] = secrets.oracle_sql()
