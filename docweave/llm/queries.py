@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, secrets
+from .ngram_join import ngram_join
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,8 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_secret_ledger"] = secrets.oracle_sql()
+
+
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
