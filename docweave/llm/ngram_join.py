@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import keep, ship
+from .runtime import keep, packed, ship
 from .toxicity import pieces
 from .wordbytes import _GOLD, Words, mix, shingles
 
@@ -277,10 +277,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Only rows that may go are shuffled; equal rows of one doc_id become one.
     """
-    names = docs.columns
     classes = keep(ngram_join(docs, **options).select("doc_id", "class_id"), "joined")
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    marked = may_hold(docs, gone.unionByName(twice))
+    marked = may_hold(packed(docs, "doc_id", "text"), gone.unionByName(twice))
     suspects = marked.where("_may").drop("_may").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return marked.where("NOT _may").select(*names).unionByName(suspects.select(*names))
+    return marked.where("NOT _may").select("_row.*").unionByName(suspects.select("_row.*"))

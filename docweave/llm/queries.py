@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, secrets
+from .mixing import mixture
 from .ngram_join import ngram_join
 from .toxicity import toxicity
 
@@ -47,3 +48,8 @@ ORACLES["op7_secret_ledger"] = secrets.oracle_sql()
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_domain_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

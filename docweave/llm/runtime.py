@@ -10,9 +10,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
-_TABLES: dict[str, list[str]] = {}
+_TABLES: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,9 +45,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, remembered for sweep()."""
+    """A fresh path under the shared folder, remembered for made()."""
     path = f"{shared_root(spark)}/docweave/{name}-{uuid.uuid4().hex}"
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _TABLES.append(path)
     return path
 
 
@@ -54,15 +55,13 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    known = _TABLES.get(spark.sparkContext.applicationId, [])
-    if path in known:
-        known.remove(path)
+    if path in _TABLES:
+        _TABLES.remove(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove every table that operators of this application left. Call it only when their results are written."""
-    for path in list(_TABLES.get(spark.sparkContext.applicationId, [])):
-        remove(spark, path)
+def made() -> list[str]:
+    """The folders that operators of this process have made and not removed."""
+    return list(_TABLES)
 
 
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -72,6 +71,11 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns and the whole row as _row, so that no other column's name can clash."""
+    return df.select(*names, F.struct(*[df[c] for c in df.columns]).alias("_row"))
+
+
 def table_path(df: DataFrame) -> str:
     """The folder of a table that keep() returned."""
     return df.inputFiles()[0].rsplit("/", 1)[0]

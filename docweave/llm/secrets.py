@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import keep
+from .runtime import keep, packed
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 def attach(versions: DataFrame, found: DataFrame) -> DataFrame:
     """The findings of each version's blob; a hot blob's versions are dealt over SALT keys."""
-    gated = versions.where("body IS NOT NULL").drop("body").withColumn("salt", F.pmod(F.xxhash64(*[c for c in versions.columns if c != "body"]), F.lit(SALT)).cast("int"))
+    gated = versions.where("body IS NOT NULL").drop("body").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     none = F.array().cast(_SPAN)
     joined = gated.join(spread, ["blob", "salt"], "left").drop("salt").withColumn("spans", F.coalesce("spans", none))
@@ -142,7 +142,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     text = F.coalesce(F.col("text"), F.lit(""))
     gate = text.rlike(GATE)
     names = docs.columns
-    gated = keep(docs.where(gate).withColumn("blob", address(F.col("text"))).withColumn("body", F.col("text")), "versions")
+    gated = keep(packed(docs.where(gate), "doc_id", "text").withColumn("blob", address(F.col("text"))).withColumn("body", F.col("text")), "versions")
     new = unseen(gated.select("blob", "body"), None, rules).where(F.size("spans") > 0).select("blob", "spans")
     both = attach(gated.withColumn("body", F.lit("")), new)
     start = F.struct(F.lit(0).alias("place"), F.lit("").alias("out"))
@@ -153,10 +153,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         return F.struct(F.greatest(acc["place"], s["end"]).alias("place"), F.concat(acc["out"], before).alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["place"] + 1, F.length("text"))))
-    hit = both.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    hit = both.withColumn("_clean", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    row = F.col("_row").withField("text", F.col("_clean"))
     if "n_chars" in names:
-        hit = hit.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.where(~gate).unionByName(hit.select(*names))
+        row = row.withField("n_chars", F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")))
+    return docs.where(~gate).unionByName(hit.select(row.alias("_row")).select("_row.*"))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

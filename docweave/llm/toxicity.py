@@ -185,6 +185,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(part, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score threshold or more: one map, no shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, at = spark.sparkContext.broadcast((model.gain, model.bias)), docs.columns.index("text")
+
+    def part(batches):
+        scorer = Model(*shared.value)
+        for batch in batches:
+            text = batch.column(at)
+            stays = [1 / (1 + np.exp(-scorer.logits(text.slice(lo, hi - lo)))) < threshold for lo, hi in pieces(text)]
+            yield batch.filter(pa.array(np.concatenate(stays) if stays else np.zeros(0, bool)))
+
+    return docs.mapInArrow(part, docs.schema)
+
+
 def pieces(text: pa.Array, size: int = PIECE) -> list[tuple[int, int]]:
     """Row ranges of about size bytes each."""
     lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
