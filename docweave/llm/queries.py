@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, runtime, secrets, warc
 from .mixing import mixture
 from .ngram_join import ngram_join
 from .pii import personal_data
@@ -59,3 +59,22 @@ def op3_domain_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), runtime.new_folder(spark, "warc"))
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+b AS (SELECT i, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', i + 1, 1) AS c FROM range(32) t(i)),
+h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS x FROM p),
+g AS (SELECT page_id, n, x, unnest(range(32)) AS k FROM h),
+v AS (SELECT page_id, n, x, k, (('0x' || substr(x, 1 + 10 * (k // 8)::INTEGER, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31 AS i FROM g),
+d AS (SELECT page_id, n, x, string_agg(c, '' ORDER BY k) AS digest FROM v JOIN b USING (i) GROUP BY page_id, n, x),
+f AS (SELECT x, min(page_id) AS first FROM h GROUP BY x)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d JOIN f USING (x)"""
