@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, runtime, secrets, vafile, warc
+from . import ann, bpe, runtime, secrets, vafile, warc
 from .mixing import mixture
 from .ngram_join import ngram_join
 from .pii import personal_data
@@ -91,3 +91,8 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
 p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
