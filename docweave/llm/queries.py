@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, runtime, secrets, vafile, warc
+from . import ann, bpe, hpylm, runtime, secrets, vafile, warc
 from .mixing import mixture
 from .ngram_join import ngram_join
 from .pii import personal_data
@@ -96,3 +96,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 @query
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.language_model(_table(spark, sf_dir, "documents"))
