@@ -1,0 +1,59 @@
+"""The optional model pass: prompts, a pluggable caller, and what its answers say."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SYMBOL = "struct<name:string,kind:string,module_path:string,signature:string,description:string,return_type:string,deprecated:boolean,deprecated_by:string>"
+RELATION = "struct<source:string,target:string,type:string,confidence_score:double,description:string>"
+ANSWER = f"symbols array<{SYMBOL}>, relationships array<{RELATION}>, summary string"
+#: Characters of prose in a prompt.
+PROSE = 8000
+
+
+def prompt() -> Column:
+    """Title, headings, signatures and the beginning of the prose of a parsed page."""
+    heads = F.array_join(F.transform("headings", lambda h: F.concat(F.repeat(F.lit("  "), h["level"] - 1), h["text"])), "\n")
+    prose = F.when(F.length("raw_text") > PROSE, F.concat(F.substring("raw_text", 1, PROSE), F.lit("...[truncated]"))).otherwise(F.col("raw_text"))
+    return F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), heads, prose)
+
+
+def worth_asking() -> Column:
+    """Pages of at least 50 words or with signatures; the others get a fixed summary without a call."""
+    return (F.col("word_count") >= 50) | (F.size("signatures") > 0)
+
+
+def ask(pages: DataFrame, call: Callable[[str], str], key: str = "page_key") -> DataFrame:
+    """key, answer and error of each page; a failed call is an error of that page only."""
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for k, text in zip(pdf["key"], pdf["prompt"], strict=True):
+                try:
+                    rows.append((k, call(text), None))
+                except Exception as e:  # the caller's failure is data here
+                    rows.append((k, None, str(e)))
+            yield pd.DataFrame(rows, columns=[key, "answer", "error"])
+
+    return pages.select(F.col(key).alias("key"), prompt().alias("prompt")).mapInPandas(part, f"{key} string, answer string, error string")
+
+
+def parse_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """symbols, relationships, summary and error of each answer: a code fence around it is dropped, entries without their names go, defaults are filled."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(answer), r"(?s)\A```[a-zA-Z]*\s*\n", ""), r"(?s)\n```\s*\z", "")
+    rows = answers.withColumn("_p", F.from_json(text, ANSWER, {"mode": "PERMISSIVE"})).withColumn("_ok", F.try_parse_json(text).isNotNull() & F.rlike(text, F.lit(r"(?s)\A\s*\{")))
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    symbols = F.transform(
+        F.filter(F.coalesce("_p.symbols", F.array().cast(f"array<{SYMBOL}>")), lambda s: s.isNotNull() & full(s["name"])),
+        lambda s: s.withField("kind", F.coalesce(F.nullif(s["kind"], F.lit("")), F.lit("function"))).withField("deprecated", F.coalesce(s["deprecated"], F.lit(False))),
+    )
+    relations = F.transform(
+        F.filter(F.coalesce("_p.relationships", F.array().cast(f"array<{RELATION}>")), lambda r: r.isNotNull() & full(r["source"]) & full(r["target"])),
+        lambda r: r.withField("type", F.coalesce(F.nullif(r["type"], F.lit("")), F.lit("RELATED_TO"))).withField("confidence_score", F.coalesce(r["confidence_score"], F.lit(0.8))),
+    )
+    return rows.select(*answers.columns, symbols.alias("symbols"), relations.alias("relationships"), F.coalesce("_p.summary", F.lit("")).alias("summary"), F.when(~F.coalesce("_ok", F.lit(False)), "not a JSON object").alias("error"))
