@@ -8,8 +8,8 @@ all training texts.
 
 Counting and sampling are dealt by word, since all dishes of a word in all restaurants depend on each other only through
 the restaurants' totals. A sweep resamples the number of tables of every dish from its conditional given all others
-(weights a^t S(c, t) with generalised Stirling numbers up to CLOSED customers; beyond that customers sit down in
-batches), level by level; restaurant totals are those of the sweep before. After BURN sweeps, SAMPLES seatings are
+(weights a^t S(c, t) with generalised Stirling numbers up to CLOSED customers, and the normal or Poisson limit of
+the same weights beyond), level by level; restaurant totals are those of the sweep before. After BURN sweeps, SAMPLES seatings are
 kept and their predictive probabilities averaged. Discounts are the usual estimate n1 / (n1 + 2 n2) of each level.
 
 Rows move as compressed blocks of many words, not one by one. Scores of the at most HEAD most frequent pairs go to all
@@ -209,17 +209,29 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, draw: np.random.Genera
             z = log_a[rows, None] * np.arange(1, k + 1) + table[k, 1 : k + 1]
             t[rows] = 1 + np.argmax(z + draw.gumbel(size=z.shape), axis=1)
     rest = np.flatnonzero(c > CLOSED)
-    n = np.full(len(rest), CLOSED, np.int64)
-    while len(rest):
-        step = np.minimum(np.maximum(1, n // 16), c[rest] - n)
-        new = a[rest] / (n - d * t[rest] + a[rest])
-        t[rest] += draw.binomial(step, np.clip(new, 0, 1))
-        n += step
-        more = n < c[rest]
-        rest, n = rest[more], n[more]
+    if len(rest):
+        t[rest] = _many_tables(c[rest].astype(float), np.maximum(a[rest], 1e-300), d, draw)
     return t
 
 
+def _many_tables(c: np.ndarray, a: np.ndarray, d: float, draw: np.random.Generator) -> np.ndarray:
+    """The same for many customers, from the generating function exp((a / d) (1 - (1 - z)^d)) of all seatings.
+
+    At the z where its mean is c, tables are Poisson with mean (a / d) (1 - (1 - z)^d); given c their variance
+    is smaller by c / (1 + (1 - d) z / (1 - z)).
+    """
+    low, high = np.full(len(c), -200.0), np.full(len(c), -1e-12)  # log(1 - z)
+    for _ in range(70):
+        u = (low + high) / 2
+        above = np.log(a) + np.log1p(-np.exp(u)) + (d - 1) * u > np.log(c)
+        low, high = np.where(above, u, low), np.where(above, high, u)
+    u = (low + high) / 2
+    mean = a / d * -np.expm1(d * u)
+    spread = np.maximum(mean - c / (1 + (1 - d) * -np.expm1(u) * np.exp(np.minimum(-u, 700))), 1e-9)
+    t = 1 + np.where(mean > 8, np.rint(draw.normal(mean, np.sqrt(spread))), draw.poisson(np.minimum(mean, 8)))
+    return np.clip(t, 1, c).astype(np.int64)
+
+
 _STATE = "bucket int, words binary, runs binary, codes binary, counts binary, t2 array<binary>, t1 array<binary>, t0 array<binary>, place array<int>, amount array<long>, tokens long, vocabulary long, ones array<long>, large array<long>"
 #: Places of totals: customers and tables of codes, of bytes, of the root.
 _C2, _T2, _C1, _T1, _C0, _T0 = 0, 1 << 17, 1 << 18, (1 << 18) + 512, (1 << 18) + 1024, (1 << 18) + 1025

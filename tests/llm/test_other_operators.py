@@ -1,0 +1,197 @@
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from docweave.llm import ann, mixing, vafile, warc
+
+from .helpers import documents, odd_texts, text
+
+
+def vectors(spark, n=300, dim=12, seed=1):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, dim)).astype(np.float32) * draw.uniform(0.5, 2, (n, 1)).astype(np.float32)
+    rows = [(k, [float(v) for v in x[k]], 1) for k in range(n)]
+    if n > 8:
+        rows[7] = (7, rows[6][1], 1)
+    odd = [(n, None, 1), (n + 1, [1.0, None], 1), (n + 2, [float("nan")] * dim, 1), (n + 3, [float("inf")] * dim, 1), (n + 4, [0.0] * dim, 1), (None, [1.0] * dim, 1), (n + 5, [0.5, 0.25], 1), (2, rows[2][1], 1)]
+    return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), dict((r[0], r[1]) for r in rows) | {n + 5: [0.5, 0.25]}, n
+
+
+def exact(kept, ids, every, k, score):
+    out = []
+    for q in (i for i in ids if i % every == 0):
+        s = sorted(((-score(kept[q], kept[v]), v) for v in ids if v != q))[:k]
+        out += [(q, r + 1, v, -x) for r, (x, v) in enumerate(s)]
+    return out
+
+
+def test_exact_search(spark):
+    table, kept, n = vectors(spark)
+    kept = {**kept, n + 4: [0.0] * 12}
+    whole = {i: [int(np.floor(1024 * np.float64(x))) for x in v] for i, v in kept.items()}
+    want = exact(whole, sorted(whole), 10, 5, lambda a, b: sum(x * y for x, y in zip(a, b, strict=False)))
+    got = [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in vafile.top_k(table, every=10, k=5).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_exact_search_small_tables(spark):
+    table, _, _ = vectors(spark, 3)
+    assert vafile.top_k(table.limit(0)).count() == 0
+    assert {r["query_id"] for r in vafile.top_k(table, every=2).collect()} <= {0, 2, 4, 6, 7, 8}
+    wild = spark.createDataFrame([(0, [3e38, 1.0]), (100, [-3e38, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert vafile.top_k(wild).count() == 4
+
+
+def test_nearest_neighbours(spark):
+    table, kept, n = vectors(spark, 700)
+    want = exact(kept, sorted(kept), 20, 20, lambda a, b: sum(float(np.float32(x)) * float(np.float32(y)) for x, y in zip(a, b, strict=False)))
+    got = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == {w[0] for w in want} and all(sorted(g) == list(range(1, 21)) for g in got.values())
+    hit = sum(w[2] in {v for v, _ in got[w[0]].values()} for w in want)
+    assert hit / len(want) >= 0.9
+    assert all(a[1] >= b[1] for g in got.values() for a, b in zip(list(dict(sorted(g.items())).values())[:-1], list(dict(sorted(g.items())).values())[1:], strict=True))
+
+
+def test_nearest_neighbours_descend(spark, monkeypatch):
+    """Small cells, so that the graph must be made by descent and found by search."""
+    monkeypatch.setattr(ann, "CELL", 64)
+    monkeypatch.setattr(ann, "PIVOT_ROWS", 48)
+    table, kept, _ = vectors(spark, 900)
+    x, width = ann.quantise(table)
+    first = ann.start(x, width)
+    second = ann.descend(first, x, width)
+    quality = lambda g: g.selectExpr("aggregate(s, 0D, (a, b) -> a + b) AS t").groupBy().sum("t").first()[0]
+    assert quality(second) > quality(first)
+    got = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(kept, sorted(kept), 20, 20, lambda a, b: sum(p * q for p, q in zip(a, b, strict=False)))
+    assert sum(w[2] in got[w[0]] for w in want) / len(want) >= 0.9
+
+
+def test_nearest_neighbours_small_tables(spark):
+    table, _, _ = vectors(spark, 3)
+    assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.limit(1)).count() == 0
+    assert all(r["query_id"] != r["vec_id"] for r in ann.nearest(table).collect())
+
+
+def mixed(spark):
+    draw = random.Random(3)
+    sides = {"en": "the of and with for", "de": "der die und mit von", "fr": "le la des avec pour"}
+    rows = []
+    for k in range(400):
+        lang = draw.choice(["en"] * 6 + ["de"] * 3 + ["fr"])
+        rows.append((k, " ".join(draw.choice(sides[lang].split() + ["x1", "x2"]) for _ in range(draw.randrange(5, 60))), lang, "s", 1))
+    rows += [(1000 + k, t, None, "s", 1) for k, t in enumerate(odd_texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens long"), spark.createDataFrame([(k,) for k in range(0, 400, 2)], "doc_id long")
+
+
+def brute_rates(p, t, goal):
+    """The same objective by plain projected gradient on all rates at once."""
+    share, total = (p * t[:, None]).sum(0) / t.sum(), t.sum()
+    r = np.ones(len(t))
+    for _ in range(4000):
+        gap = ((p * (r * t)[:, None]).sum(0) / total - goal) / share
+        r = np.maximum(0, r - (p @ gap + mixing.PULL * (r - 1)) / (1 + mixing.PULL))
+    return r
+
+
+def test_mixture(spark):
+    docs, labels = mixed(spark)
+    got = mixing.mixture(docs, labels).toPandas().sort_values("doc_id")
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    real = got[got.doc_id < 400]
+    assert np.mean([truth[d] == x for d, x in zip(real.doc_id, real.domain, strict=True)]) > 0.97
+    p, t, r = np.stack(got.posterior), got.n_tokens.to_numpy(float), got.rate.to_numpy()
+    assert np.allclose(p.sum(1), 1) and (r >= 0).all() and (r[t == 0] == 1).all()
+    mass = (p * t[:, None]).sum(0) / t.sum()
+    goal = np.sqrt(mass) / np.sqrt(mass).sum()
+    assert np.allclose((p * (t * r)[:, None]).sum(0) / t.sum(), goal, atol=2e-4)
+    some = t > 0
+    assert np.abs(brute_rates(p[some], t[some], goal) - r[some]).max() < 0.02
+    assert ((got.copies == np.floor(r)) | (got.copies == np.floor(r) + 1)).all()
+
+
+def test_mixture_targets_and_remix(spark):
+    docs, labels = mixed(spark)
+    got = mixing.mixture(docs, labels, targets={"en": 1, "de": 1, "fr": 1}).toPandas()
+    p, t = np.stack(got.posterior), got.n_tokens.to_numpy(float)
+    assert np.allclose((p * (t * got.rate.to_numpy())[:, None]).sum(0) / t.sum(), 1 / 3, atol=2e-4)
+    out = mixing.remix(docs, labels)
+    assert out.columns == docs.columns and out.select("doc_id").distinct().count() == docs.count() and out.count() > docs.count()
+    assert mixing.mixture(docs, labels.limit(0)).where("rate <> 1").count() == 0 and mixing.remix(docs.limit(0), labels).count() == 0
+
+
+def pages(spark):
+    draw = random.Random(1)
+    rows = [(k, f"http://e.com/{k}", "<p>" + text(draw, draw.randrange(3, 200)) + "</p>") for k in range(60)]
+    rows += [(100 + k, f"http://e.com/é\r\n{k}", h) for k, h in enumerate([None, "", "same ü", "same ü", "same ü", "x" * 200_000])]
+    rows += [(102, "http://e.com/again", "same ü"), (50, None, "<p>other</p>"), (10**12, "http://far", "far"), (None, "http://none", "same ü")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), rows
+
+
+def test_warc_round_trip(spark, tmp_path):
+    table, rows = pages(spark)
+    entries = warc.write(table, str(tmp_path / "a"), shard_bytes=20_000, file_bytes=3_000)
+    assert len(entries) > 3 and entries == warc.manifest(str(tmp_path / "a"))
+    got = sorted(((r["page_id"] if r["page_id"] is not None else 10**15, r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.read(spark, str(tmp_path / "a")).collect()), key=str)
+    first, want = {}, []
+    for i, _, h in rows:
+        h = (h or "").encode()
+        if i is not None:
+            first[h] = min(first.get(h, 10**15), i)
+    done = set()
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        h = (h or "").encode()
+        again = first.get(h) != i or h in done
+        done.add(h)
+        digest = base64.b32encode(hashlib.sha1(h).digest()).decode()
+        want.append((10**15 if i is None else i, "revisit" if again else "response", len(h), digest, first[h] if again else None))
+    assert got == sorted(want, key=str)
+
+
+def test_warc_is_deterministic_and_whole(spark, tmp_path):
+    table, _ = pages(spark)
+    a = warc.write(table, str(tmp_path / "a"), shard_bytes=20_000, file_bytes=3_000)
+    b = warc.write(table.repartition(2), str(tmp_path / "b"), shard_bytes=20_000, file_bytes=3_000)
+    assert a == b
+    (tmp_path / "a" / "_temporary-left").write_bytes(b"rest of a lost task")
+    assert warc.read(spark, str(tmp_path / "a")).count() == table.count()
+    name = tmp_path / "a" / a[0]["name"]
+    name.write_bytes(name.read_bytes()[:-30])
+    with pytest.raises(Exception, match="cut short|damaged|invalid"):
+        warc.read(spark, str(tmp_path / "a")).collect()
+
+
+def test_warc_empty_and_threshold(spark, tmp_path):
+    table, _ = pages(spark)
+    assert warc.write(table.limit(0), str(tmp_path / "e")) == [] and warc.read(spark, str(tmp_path / "e")).count() == 0
+    warc.write(table, str(tmp_path / "t"), least=10**6)
+    assert warc.read(spark, str(tmp_path / "t")).where("record_type = 'revisit'").count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(2)
+    base = text(draw, 80)
+    texts = [text(draw, 60) for _ in range(120)] + [base, base + " end", "token = abcdefghijklmnop " + text(draw, 30)] + odd_texts()
+    documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    counts = []
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{k}-{name}"))
+        new = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
+        assert k == 4 or new.columns == docs.columns
+        counts.append((name, {r["doc_id"] for r in new.select("doc_id").collect()}))
+        docs = new
+    seen = dict(counts)
+    assert 121 not in seen["near_duplicates"] and 120 in seen["near_duplicates"] and seen["secrets"] == seen["mixture"] == seen["tokens"] == seen["near_duplicates"]
+    assert spark.read.parquet(str(tmp_path / "2-secrets")).where("doc_id = 122 AND text LIKE '[SECRET]%'").count() == 1
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
