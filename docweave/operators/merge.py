@@ -31,8 +31,8 @@ def merge_symbols(first: DataFrame, second: DataFrame, page: str = "page_key") -
     return merged.unionByName(extra)
 
 
-def guides(parsed: DataFrame, version_id: str, symbols: DataFrame | None = None, page: str = "page_key") -> DataFrame:
-    """Guide nodes of pages with a title and more than 100 words or any code; at most five code examples."""
+def guides(parsed: DataFrame, version_id: str, symbols: DataFrame | None = None, page: str = "page_key", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Guide nodes of pages with a title and more than 100 words or any code; at most five code examples. keep: further columns of parsed to carry along."""
     rows = parsed.where((F.col("title") != "") & ((F.col("word_count") > 100) | (F.size("code_blocks") > 0)))
     related = F.array().cast("array<string>")
     if symbols is not None:
@@ -40,4 +40,4 @@ def guides(parsed: DataFrame, version_id: str, symbols: DataFrame | None = None,
         rows = rows.join(ids, page, "left")
         related = F.coalesce("related_symbols", related)
     examples = F.transform(F.slice("code_blocks", 1, 5), lambda b: F.struct(b["code"].alias("code"), b["language"].alias("language"), b["title"].alias("title")))
-    return rows.select(F.concat(F.lit(version_id + "::guides/"), F.col(page)).alias("id"), F.lit(version_id).alias("version_id"), "title", F.col(page).alias("slug"), examples.alias("code_examples"), related.alias("related_symbols"), F.lit("guide").alias("node_type"))
+    return rows.select(F.concat(F.lit(version_id + "::guides/"), F.col(page)).alias("id"), F.lit(version_id).alias("version_id"), "title", F.col(page).alias("slug"), examples.alias("code_examples"), related.alias("related_symbols"), F.lit("guide").alias("node_type"), *keep)

@@ -64,9 +64,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Which guides there are for a term, what they link to and how long they are: HTML to a guide graph to a keyword query."""
     parsed = markdown.parsed(html.pages_from_html(table(spark, folder, "pages")))
     last = graph.nodes_last_wins(parsed.select("page_key", F.col("page_id").alias("ord"), "title", "word_count", "code_blocks", "links"), "page_key")
-    nodes = merge.guides(last, "web@1").select("id", F.col("title").alias("name"), F.col("slug").alias("page_key"))
-    hits = nodes.join(last.select("page_key", "ord", "word_count", "links"), "page_key").where(F.contains(F.lower("name"), F.lit("e")))
-    return hits.select("id", "name", "word_count", F.array_join(F.transform("links", lambda x: x["url"]), " ").alias("links"), "ord").orderBy("name", "ord").limit(20)
+    nodes = merge.guides(last, "web@1", keep=("ord", "word_count", "links"))
+    return nodes.where(F.contains(F.lower("title"), F.lit("e"))).select("id", F.col("title").alias("name"), "word_count", F.array_join(F.transform("links", lambda x: x["url"]), " ").alias("links"), "ord").orderBy("name", "ord").limit(20)
 
 
 @query("guide_search")
