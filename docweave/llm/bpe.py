@@ -28,16 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import ship, trim
 from .toxicity import pieces
 from .wordbytes import hash_spans
 
 #: Longest word that the recursive query gets, in bytes.
 LONG = 256
 #: Words that a worker remembers.
-SLOTS = 1 << 21
-PIECE = 4 << 20
-DUCKDB_MB = 300
+SLOTS = 1 << 19
+#: Words in one recursive query.
+WORDS = 20_000
+PIECE = 2 << 20
+DUCKDB_MB = 200
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 
 ENCODE = """
@@ -202,28 +204,32 @@ class Codec:
                 out[k] = heap_encode(w, self.ranks)
             else:
                 rest.append(k)
-        size = np.array([len(words[k]) for k in rest], np.int64)
-        if len(rest):
-            ends = np.cumsum(size)
-            pos = np.arange(ends[-1]) - np.repeat(ends - size, size)
-            tok = self.byte[np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)]
-            following = np.append(tok[1:], -1)
-            following[ends - 1] = -1
-            self._table("start", word=np.repeat(np.arange(len(rest), dtype=np.int32), size), pos=pos, tok=tok, npos=pos + 1, ntok=following)
-            found = self.db.sql(ENCODE).to_arrow_table()["toks"].combine_chunks()
-            offsets = found.offsets.to_numpy()
-            values = found.values.to_numpy(zero_copy_only=False)
-            for j, k in enumerate(rest):
-                out[k] = values[offsets[j] : offsets[j + 1]]
+        for lo in range(0, len(rest), WORDS):
+            self._recurse(words, rest[lo : lo + WORDS], out)
         counts = np.array([len(x) for x in out], np.int64)
         return (np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)), counts
 
+    def _recurse(self, words: list[bytes], rest: list[int], out: list) -> None:
+        """Encode words[k] for k in rest, by one recursive query."""
+        size = np.array([len(words[k]) for k in rest], np.int64)
+        ends = np.cumsum(size)
+        pos = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        tok = self.byte[np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)]
+        following = np.append(tok[1:], -1)
+        following[ends - 1] = -1
+        self._table("start", word=np.repeat(np.arange(len(rest), dtype=np.int32), size), pos=pos, tok=tok, npos=pos + 1, ntok=following)
+        found = self.db.sql(ENCODE).to_arrow_table()["toks"].combine_chunks()
+        offsets = found.offsets.to_numpy()
+        values = found.values.to_numpy(zero_copy_only=False)
+        for j, k in enumerate(rest):
+            out[k] = values[offsets[j] : offsets[j + 1]]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
-        text = raw.to_pybytes()[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else b""
+        text = raw.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if raw is not None and offsets[-1] > offsets[0] else b""
         offsets = offsets - offsets[0]
         starts = cut(text, offsets[:-1][offsets[:-1] < len(text)], self.classes)
         ends = np.append(starts[1:], len(text)) if len(starts) else starts
@@ -290,6 +296,7 @@ def _mapped(docs: DataFrame, path: str, work, schema: str) -> DataFrame:
             codec = codec or _codec(key, shared)
             for lo, hi in pieces(batch.column(1), PIECE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *work(codec, batch.column(1).slice(lo, hi - lo))], names=names)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(part, schema)
 

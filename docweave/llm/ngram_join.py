@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import keep, packed, ship
+from .runtime import keep, packed, ship, trim
 from .toxicity import pieces
 from .wordbytes import _GOLD, Words, mix, shingles
 
@@ -96,6 +96,7 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum((sizes > 0) * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_ids(values, sizes)), pa.array(sizes), lists], names=["doc_id", "sid", "n", "bands"])
+        trim()
 
     return _text(docs).mapInArrow(part, "doc_id long, sid long, n long, bands array<long>")
 
@@ -122,6 +123,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 edges = np.concatenate(([0], np.cumsum(sizes))) * 8
                 sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, sizes)), pa.array(sizes), sets.cast(pa.binary())], names=["sid", "n", "set"])
+        trim()
 
     near = may_hold(_text(docs), wanted.select("doc_id")).where("_may").select("text")
     found = near.mapInArrow(part, "sid long, n long, set binary")
@@ -226,6 +228,7 @@ def verify_families(family: DataFrame, sets: DataFrame, threshold: float, block:
                 group.append(row)
         if group and (out := solve(group)) is not None:
             yield out
+        trim()
 
     return rows.mapInArrow(part, "sid long, links long, root long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import tempfile
@@ -12,12 +13,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: set[str] = set()
 _TABLES: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application."""
+    """Send this package to the executors, once an application, and bound the batches that move to and from Python.
+
+    The bound is a setting of the session and stays; a smaller one of the user's holds.
+    """
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -81,6 +90,17 @@ def table_path(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0]
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back to the system, as it may wait beside others for its next task."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def input_partitions(df: DataFrame) -> int:
     """Tasks that a scan of df takes: a measure of its size that needs no job."""
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import ship, trim
 from .wordbytes import _GOLD, _MASK, Words, mix
 
 BUCKETS = 1 << 18
@@ -197,6 +197,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             text = batch.column(at)
             stays = [1 / (1 + np.exp(-scorer.logits(text.slice(lo, hi - lo)))) < threshold for lo, hi in pieces(text)]
             yield batch.filter(pa.array(np.concatenate(stays) if stays else np.zeros(0, bool)))
+        trim()
 
     return docs.mapInArrow(part, docs.schema)
 
