@@ -161,7 +161,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHAR
         shard = F.lit(0)
     known = revisits(slim, least).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("payload"), "first")
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(known)
-    dealt = both.withColumn("shard", shard.cast("int")).repartition(min(last + 1, 100_000), "shard")
+    dealt = both.withColumn("shard", shard.cast("int")).repartitionById(last + 1, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "url", "payload").select("shard", "page_id", "kind", "url", "payload", "first")
     schema = "shard int, part int, name string, records long, bytes long, sha256 string"
 
@@ -194,7 +194,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHAR
         if roller.closed:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.closed, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "part", "name", "records", "bytes", "sha256"])
 
-    entries = [r.asDict() for r in dealt.mapInArrow(part, schema).orderBy("shard", "part").collect()]  # a row for each file
+    # a row for each file; sorted here, since a sort in Spark would run the writer twice to sample its rows
+    entries = sorted((r.asDict() for r in dealt.mapInArrow(part, schema).collect()), key=lambda e: (e["shard"], e["part"]))
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
     temporary = f"{path}/_temporary-{uuid.uuid4().hex}"
@@ -270,7 +271,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)), F.xxhash64("name")) if names else spark.createDataFrame([], "name string")
+    files = spark.createDataFrame(list(enumerate(names)), "k int, name string").repartitionById(max(1, len(names)), "k").select("name")
     return files.mapInArrow(part, schema)
 
 
