@@ -109,17 +109,17 @@ class Model:
         return (run[words.first[1:]] - run[words.first[:-1]]) / np.maximum(count, 1) + self.bias
 
 
-def _batch(texts: list[str | None], labels: np.ndarray) -> tuple:
-    """The rows of one batch: distinct slots, and of every entry its slot's place, text and weight."""
-    text, slot, weight = bags(Words(pa.array(texts, pa.string())))
+def _batch(texts: pa.Array, labels: np.ndarray) -> tuple:
+    """The rows of one batch: distinct slots, of every entry its slot's place and weight, and the entries of each text."""
+    text, slot, weight = bags(Words(texts))
     key = text.astype(np.int64) * BUCKETS + slot
     key, where = np.unique(key, return_inverse=True)
     weight = np.bincount(where, weights=weight).astype(np.float32)
     used, where = np.unique((key % BUCKETS).astype(np.int32), return_inverse=True)
-    return used, where.astype(np.int32), (key // BUCKETS).astype(np.int32), weight, labels
+    return used, where.astype(np.int32), np.bincount(key // BUCKETS, minlength=len(texts)), weight, labels
 
 
-def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
+def fit(texts: list[str | None] | pa.Array | pa.ChunkedArray, labels: np.ndarray, seed: int = 7) -> Model:
     """Learn table and softmax together by Adagrad on the cross-entropy."""
     labels = np.asarray(labels, dtype=np.int64)
     if len(labels) == 0 or labels.min() == labels.max():
@@ -127,14 +127,17 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(texts))
-    batches = [_batch([texts[i] for i in order[k : k + BATCH]], labels[order[k : k + BATCH]]) for k in range(0, len(order), BATCH)]
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    batches = [_batch(texts.take(pa.array(order[k : k + BATCH])), labels[order[k : k + BATCH]]) for k in range(0, len(order), BATCH)]
+    del texts
     table = draw.uniform(-0.01, 0.01, (BUCKETS, DIM)).astype(np.float32)
     soft = draw.uniform(-1, 1, (DIM, 2)).astype(np.float32)
     bias = np.log(np.array([np.mean(labels == 0), np.mean(labels == 1)])).astype(np.float32)
     seen, seen_soft = np.full((BUCKETS, DIM), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32)
     for _ in range(EPOCHS):
         for b in draw.permutation(len(batches)):
-            used, where, text, weight, label = batches[b]
+            used, where, sizes, weight, label = batches[b]
+            text = np.repeat(np.arange(len(label)), sizes)
             own = table[used]
             vectors = np.stack([np.bincount(text, weights=own[where, j] * weight, minlength=len(label)) for j in range(DIM)], axis=1)
             z = vectors @ soft + bias
@@ -164,8 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """Fit on at most max_train labelled rows outside the held-out quarter."""
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(max_train).toPandas()
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(max_train).select("text", "toxic").toArrow()
+    model = fit(rows["text"], rows["toxic"].to_numpy())
+    del rows
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
