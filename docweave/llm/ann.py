@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import keep, new_folder, remove, ship, shuffle_partitions, table_path
+from .runtime import by_hash, keep, new_folder, remove, ship, shuffle_partitions, table_path
 from .vectors import best, lists, matrix, packed_rows, unpacked, usable, whole_groups
 
 NEIGHBOURS = 32
@@ -112,7 +112,7 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
     spark = vectors.sparkSession
     rows = vectors.count()
     pivots = max(1, min(MAX_PIVOTS, rows * SPREAD // PIVOT_ROWS)) if rows > CELL else 1
-    chosen = vectors.select("vec_id", "x").orderBy(F.xxhash64("vec_id")).limit(pivots).toArrow()
+    chosen = by_hash(vectors.select("vec_id", "x"), pivots, rows, "vec_id").toArrow()
     shared = spark.sparkContext.broadcast(unpacked(chosen["x"], np.int8, width).astype(np.float32))
 
     def cells(batches):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import keep, packed
+from .runtime import by_hash, keep, packed
 
 BUCKETS = 1 << 13
 DOMAINS = 32
@@ -43,7 +43,7 @@ def _slots(text: Column) -> Column:
 
 def classifier(docs: DataFrame, labelled: DataFrame, domain: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
     """One row: names, log priors, and log likelihoods of every domain's slots one domain after another."""
-    ids = labelled.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    ids = by_hash(labelled.where("doc_id IS NOT NULL").select("doc_id").distinct(), max_train, labelled.count(), "doc_id")
     rows = docs.select("doc_id", F.col(domain).cast("string").alias("domain"), "text").where("domain IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi")
     counted = rows.select("domain", F.explode(_slots(F.col("text"))).alias("slot")).groupBy("domain", "slot").agg(F.count(F.lit(1)).alias("c"))
     counted = keep(counted, "slots")

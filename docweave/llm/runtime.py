@@ -80,6 +80,18 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_hash(df: DataFrame, most: int, rows: int, key: str) -> DataFrame:
+    """At most most rows, picked by hash of key; rows: about how many there are.
+
+    Of a large table only rows whose hash is small are looked at, about 2 * most of them at any size, so that no task
+    sorts or receives more.
+    """
+    h = F.xxhash64(key)
+    if rows > 4 * most:
+        df = df.where(F.shiftrightunsigned(h, 33) < int(2**31 * 2 * most / rows))
+    return df.orderBy(h, key).limit(most)
+
+
 def packed(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and the whole row as _row, so that no other column's name can clash."""
     return df.select(*names, F.struct(*[df[c] for c in df.columns]).alias("_row"))

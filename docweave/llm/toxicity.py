@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship, trim
+from .runtime import by_hash, ship, trim
 from .wordbytes import _GOLD, _MASK, Words, mix
 
 BUCKETS = 1 << 18
@@ -166,7 +166,7 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most max_train labelled rows outside the held-out quarter."""
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = by_hash(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), max_train, labels.count() // 2, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(max_train).select("text", "toxic").toArrow()
     model = fit(rows["text"], rows["toxic"].to_numpy())
     del rows

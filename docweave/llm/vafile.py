@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import keep, remove, ship, table_path
+from .runtime import by_hash, keep, remove, ship, table_path
 from .vectors import matrix, packed_rows, unpacked, usable
 
 CELLS = 256
@@ -59,7 +59,7 @@ def build(table: DataFrame, scale: float = 1024.0) -> tuple[DataFrame, int, np.n
     low, high = np.zeros(width), np.zeros(width)
     low[ranges["d"].to_numpy(int)], high[ranges["d"].to_numpy(int)] = ranges["low"].to_numpy(float), ranges["high"].to_numpy(float)
     low, high = integers(np.minimum(low, 0), scale), integers(np.maximum(high, 0), scale)
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(MAX_SAMPLE).select("e").toArrow()["e"].combine_chunks()
+    sample = by_hash(rows, MAX_SAMPLE, rows.count(), "vec_id").select("e").toArrow()["e"].combine_chunks()
     sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) and sample.num_chunks else sample
     lower, upper = cell_edges(integers(matrix(sample, width), scale) if len(sample) else np.zeros((0, width)), low, high)
     shared = table.sparkSession.sparkContext.broadcast(lower)
