@@ -40,6 +40,8 @@ BURN, SAMPLES = 2, 3
 CONCENTRATION = (1.0, 1.0, 1.0)
 CLOSED = 48
 HEAD = 1 << 20
+#: Tasks of the last step but one of a sum over all restaurants.
+WAYS = 8
 #: Tokens counted before a task sends what it has.
 CHUNK = 3 << 20
 PIECE = 1 << 20
@@ -232,7 +234,7 @@ def _many_tables(c: np.ndarray, a: np.ndarray, d: float, draw: np.random.Generat
     return np.clip(t, 1, c).astype(np.int64)
 
 
-_STATE = "bucket int, words binary, runs binary, codes binary, counts binary, t2 array<binary>, t1 array<binary>, t0 array<binary>, place array<int>, amount array<long>, tokens long, vocabulary long, ones array<long>, large array<long>"
+_STATE = "bucket int, words binary, runs binary, codes binary, counts binary, t2 array<binary>, t1 array<binary>, t0 array<binary>, place binary, amount binary, tokens long, vocabulary long, ones array<long>, large array<long>"
 #: Places of totals: customers and tables of codes, of bytes, of the root.
 _C2, _T2, _C1, _T1, _C0, _T0 = 0, 1 << 17, 1 << 18, (1 << 18) + 512, (1 << 18) + 1024, (1 << 18) + 1025
 
@@ -251,7 +253,7 @@ def _state(bucket: int, blocks: tuple[bytes, ...], dishes: Dishes, t2s: list, t1
     ones = [int((x == k).sum()) for x in (c0, c1, dishes.counts) for k in (1, 2)]
     large = [int((dishes.counts >= 1 << k).sum()) for k in range(48)]
     packs = lambda xs: [_pack(x.astype(np.int32)) for x in xs]
-    return (bucket, *blocks, packs(t2s), packs(t1s), packs(t0s), place, amount, int(dishes.counts.sum()), len(dishes.words), ones, large)
+    return (bucket, *blocks, packs(t2s), packs(t1s), packs(t0s), _pack(place), _pack(amount), int(dishes.counts.sum()), len(dishes.words), ones, large)
 
 
 def seat(counted: DataFrame) -> DataFrame:
@@ -283,15 +285,27 @@ def totals(states: DataFrame, discounts: tuple[float, float, float] | None = Non
         pick = lambda a, b: min(0.95, max(0.05, (a or 0) / max(1, (a or 0) + 2 * (b or 0))))
         discounts = tuple(pick(ones[2 * k], ones[2 * k + 1]) for k in range(3))
     out = Totals(discounts, v or 0)
-    rows = states.select(F.explode(F.arrays_zip("place", "amount")).alias("z")).groupBy("z.place").agg(F.sum("z.amount").alias("n")).toArrow()
-    place, amount = rows["place"].to_numpy(), rows["n"].to_numpy().astype(float)
+    # one dense sum for each task, then for each of WAYS: what is left to collect has a fixed size
+    sums = states.select("place", "amount").mapInArrow(_add, "place binary, amount binary").repartition(WAYS).mapInArrow(_add, "place binary, amount binary").collect()
+    dense = np.zeros(_T0 + 1)
+    for r in sums:
+        dense[_unpack(r["place"], np.int32)] += _unpack(r["amount"], np.int64)
     for base, x in ((_C2, out.c2), (_T2, out.t2), (_C1, out.c1), (_T1, out.t1)):
-        mine = (place >= base) & (place < base + len(x))
-        x[place[mine] - base] = amount[mine]
-    out.c0, out.t0 = (float(amount[place == p].sum()) for p in (_C0, _T0))
+        x[:] = dense[base : base + len(x)]
+    out.c0, out.t0 = float(dense[_C0]), float(dense[_T0])
     return out, int(n or 0)
 
 
+def _add(batches):
+    dense = np.zeros(_T0 + 1, np.int64)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            dense[_unpack(batch.column(0)[k].as_py(), np.int32)] += _unpack(batch.column(1)[k].as_py(), np.int64)
+    some = np.flatnonzero(dense).astype(np.int32)
+    if len(some):
+        yield _batch([(_pack(some), _pack(dense[some]))], "place binary, amount binary")
+
+
 def _open(r: dict) -> tuple[Dishes, list, list, list]:
     dishes = Dishes(_unpack(r["words"], np.uint64), _unpack(r["runs"], np.int32), _unpack(r["codes"], np.int32), _unpack(r["counts"], np.int64))
     return dishes, *[[_unpack(x, np.int32).astype(np.int64) for x in r[k]] for k in ("t2", "t1", "t0")]
