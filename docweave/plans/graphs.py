@@ -166,8 +166,8 @@ def connected_components(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("louvain_communities")
 def louvain_communities(spark: SparkSession, folder: str) -> DataFrame:
-    edges = compose.run(spark, folder, "SELECT 'shop@' || l_returnflag AS version_id, 's' || l_suppkey AS source, 'p' || l_partkey % 300 AS target FROM lineitem WHERE l_quantity = 7 AND l_linenumber = 1", "lineitem")
-    return community.communities(edges)
+    ends = [F.concat(F.lit(a), c).alias(n) for a, c, n in (("shop@", "l_returnflag", "version_id"), ("s", "l_suppkey", "source"), ("p", "l_partkey", "target"))]
+    return community.communities(table(spark, folder, "lineitem").select(*ends))
 
 
 @query("cluster_labels")
