@@ -56,7 +56,7 @@ def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
 def sitemap_urls(spark: SparkSession, folder: str) -> DataFrame:
     """The pages' addresses written as one sitemap and read again; the limit is the operator's."""
     loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    rows = table(spark, folder, "pages").orderBy("page_id").limit(1000).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("l")))), lambda x: x["l"]), "").alias("l"))
+    rows = table(spark, folder, "pages").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("l")))), lambda x: x["l"]), "").alias("l"))
     return html.sitemap_urls(rows.select(F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("xml")), "https://")
 
 
