@@ -111,9 +111,11 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
     """First lists (u, v, s, fresh) from cells."""
     spark = vectors.sparkSession
     rows = vectors.count()
-    pivots = max(1, min(MAX_PIVOTS, rows * SPREAD // PIVOT_ROWS)) if rows > CELL else 1
-    chosen = by_hash(vectors.select("vec_id", "x"), pivots, rows, "vec_id").toArrow()
-    shared = spark.sparkContext.broadcast(unpacked(chosen["x"], np.int8, width).astype(np.float32))
+    # up to CELL rows are one cell and need no pivot
+    pivots = max(1, min(MAX_PIVOTS, rows * SPREAD // PIVOT_ROWS)) if rows > CELL else 0
+    if pivots:
+        chosen = by_hash(vectors.select("vec_id", "x"), pivots, rows, "vec_id").toArrow()
+        shared = spark.sparkContext.broadcast(unpacked(chosen["x"], np.int8, width).astype(np.float32))
 
     def cells(batches):
         centre = shared.value
@@ -123,7 +125,11 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
             near = np.argpartition(-near, spread - 1, axis=1)[:, :spread].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.full(len(near), spread), pa.array(near.reshape(-1))), batch.column(1)], names=["vec_id", "cells", "x"])
 
-    placed = vectors.select("vec_id", "x").mapInArrow(cells, "vec_id long, cells array<int>, x binary").select("vec_id", F.explode("cells").alias("cell"), "x")
+    rows_x = vectors.select("vec_id", "x")
+    if pivots:
+        placed = rows_x.mapInArrow(cells, "vec_id long, cells array<int>, x binary").select("vec_id", F.explode("cells").alias("cell"), "x")
+    else:
+        placed = rows_x.select("vec_id", F.lit(0).alias("cell"), "x")
     sizes = placed.groupBy("cell").count().collect()  # a row a pivot
     blocks = np.ones(max(1, pivots), np.int64)
     for r in sizes:

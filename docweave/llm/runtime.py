@@ -81,14 +81,18 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def by_hash(df: DataFrame, most: int, rows: int, key: str) -> DataFrame:
-    """At most most rows, picked by hash of key; rows: about how many there are.
+    """most rows picked by hash of key, or all if there are fewer; rows: about how many there are.
 
-    Of a large table only rows whose hash is small are looked at, about 2 * most of them at any size, so that no task
-    sorts or receives more.
+    Of a large table only rows whose hash is small are looked at, about 2 * most + 64 of them at any size, so that no
+    task sorts or receives more. Where those are fewer than most (rows was too large a guess), the bound is widened.
     """
     h = F.xxhash64(key)
-    if rows > 4 * most:
-        df = df.where(F.shiftrightunsigned(h, 33) < int(2**31 * 2 * most / rows))
+    if rows > 4 * most + 64:
+        near = F.shiftrightunsigned(h, 33)
+        bound = max(1, 2**31 * (2 * most + 64) // rows)
+        while bound < 2**31 and df.where(near < bound).select(key).limit(most).count() < most:
+            bound *= 4
+        df = df.where(near < bound) if bound < 2**31 else df
     return df.orderBy(h, key).limit(most)
 
 

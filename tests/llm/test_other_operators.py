@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from docweave.llm import ann, mixing, vafile, warc
+from docweave.llm.runtime import by_hash
 
 from .helpers import documents, odd_texts, text
 
@@ -74,6 +75,20 @@ def test_nearest_neighbours_descend(spark, monkeypatch):
     assert sum(w[2] in got[w[0]] for w in want) / len(want) >= 0.9
 
 
+def test_nearest_neighbours_where_no_hash_is_small(spark):
+    draw = np.random.default_rng(4)
+    rows = [(1022000 + k, [float(v) for v in draw.normal(size=8)], 1) for k in range(500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert ann.nearest(table).groupBy("query_id").count().where("count = 20").count() == 25
+
+
+def test_bounded_sample_is_whole(spark):
+    ids = spark.range(3000)
+    assert by_hash(ids, 100, 3000, "id").count() == 100
+    assert by_hash(ids, 100, 3000 * 20, "id").count() == 100 and by_hash(ids, 5000, 10**6, "id").count() == 3000
+    assert by_hash(spark.range(1022000, 1022500), 1, 500, "id").count() == 1
+
+
 def test_nearest_neighbours_small_tables(spark):
     table, _, _ = vectors(spark, 3)
     assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.limit(1)).count() == 0
