@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Vectors get one more component that makes all norms equal, so that near vectors of the graph are those of large
-inner product; the graph works on byte-quantised vectors, results on the original ones in double precision.
+inner product; the graph works on byte-quantised vectors, each with its own scale, results on the original ones in
+double precision. The HEADS longest vectors are also compared with every query, as few links lead to them.
 
 The graph starts from cells: every row goes to its SPREAD nearest of at most MAX_PIVOTS pivots (a bounded sample), a
 cell of more than CELL rows is dealt into blocks by hash, and each block gives its rows their nearest within. Then
@@ -40,40 +41,62 @@ ROUNDS = 2
 CHANGE = 0.02
 BEAM, OPEN, SEARCH = 128, 32, 4
 _ROWS = 512
+#: Longest vectors that every query is compared with.
+HEADS = 256
+#: Bytes after the components of x.
+TAIL = 8
+
+
+def _norm(e: str):
+    large = F.array_max(F.transform(e, lambda x: F.abs(x)))
+    return large * F.sqrt(F.aggregate(F.transform(e, lambda x: (x / large) * (x / large)), F.lit(0.0), lambda a, x: a + x))
+
+
+def _heads(rows: DataFrame, most: int) -> DataFrame:
+    return rows.select("vec_id", "e", _norm("e").alias("norm")).orderBy(F.desc("norm"), "vec_id").limit(most)
 
 
 def quantise(table: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, x, e): bytes of the vector with its extra component, and the original; and the width of x."""
+    """(vec_id, x, e): packed for the graph (see decoded), and the original; and the components of x.
+
+    Bytes have a scale a vector. The sphere is that of the largest norm after the HEADS largest, which are shortened
+    to it for the graph: a few long vectors change nothing for the others.
+    """
     ship(table.sparkSession)
     rows = keep(usable(table, zero=False), "vectors")
-    square = F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)
-    width, most, large = rows.agg(F.max(F.size("e")), F.max(square), F.max(F.array_max(F.transform("e", lambda x: F.abs(x))))).first()
-    width, most, large = width or 0, most or 1.0, large or 1.0
+    width = rows.agg(F.max(F.size("e"))).first()[0] or 0
+    radius = min((r["norm"] for r in _heads(rows, HEADS + 1).select("norm").collect()), default=1.0)
 
     def part(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 piece = batch.slice(lo, 2048)
                 e = matrix(piece.column(1), width)
-                extra = np.sqrt(np.maximum(0.0, 1.0 - (e * e).sum(axis=1) / most))
-                e /= np.sqrt(most)
-                top = max(large / np.sqrt(most), 1e-300)
-                # an extra component beyond a byte is shared out over as many as the largest may need
-                x = np.concatenate((np.rint(e * (127 / top)), _shared(extra * (127 / top), top)), axis=1)
-                yield pa.RecordBatch.from_arrays([piece.column(0), packed_rows(x.astype(np.int8)), piece.column(1)], names=["vec_id", "x", "e"])
+                large = np.abs(e).max(axis=1, keepdims=True)
+                e /= large
+                length = np.sqrt((e * e).sum(axis=1, keepdims=True))
+                short = np.minimum(1.0, large * length / radius)
+                fill = short**2 / (1.0 + np.sqrt(1.0 - short**2))  # 1 - the extra component, exact where that is near 1
+                tail = np.concatenate((short / length / 127, fill), axis=1).astype(np.float32)
+                x = np.concatenate((np.rint(e * 127).astype(np.int8).view(np.uint8), tail.view(np.uint8)), axis=1)
+                yield pa.RecordBatch.from_arrays([piece.column(0), packed_rows(x), piece.column(1)], names=["vec_id", "x", "e"])
 
-    top = max(large / np.sqrt(most), 1e-300)
-    return keep(rows.mapInArrow(part, "vec_id long, x binary, e array<double>"), "quantised"), width + _shares(top)
+    return keep(rows.mapInArrow(part, "vec_id long, x binary, e array<double>"), "quantised"), width
 
 
-def _shares(top: float) -> int:
-    return int(min(64, np.ceil((1.0 / top) ** 2))) or 1
+def decoded(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components, and what the extra component lacks to 1, of rows of width bytes, a scale and that."""
+    tail = np.ascontiguousarray(raw[:, width:]).view(np.float32)
+    return raw[:, :width].view(np.int8).astype(np.float32) * tail[:, :1], tail[:, 1]
 
 
-def _shared(extra: np.ndarray, top: float) -> np.ndarray:
-    """extra as equal components whose squares add up to its square."""
-    n = _shares(top)
-    return np.repeat(np.minimum(127, np.rint(extra / np.sqrt(n)))[:, None], n, axis=1)
+def _rows_of(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return decoded(unpacked(values, np.uint8, width + TAIL), width)
+
+
+def _scores(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Inner products less 1, extra components included: less 1, so that short vectors keep their differences."""
+    return a[0] @ b[0].T - (a[1][:, None] + b[1] - a[1][:, None] * b[1])
 
 
 def _merged(rows: DataFrame, most: int) -> DataFrame:
@@ -93,13 +116,12 @@ def _merged(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("u", "v", "s", "old").repartition("u").sortWithinPartitions("u").mapInArrow(part, schema)
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest(ids: np.ndarray, x: tuple[np.ndarray, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row its nearest others: counts, ids, scores."""
-    x = x.astype(np.float32)
     k = min(most, len(ids) - 1)
     out_v, out_s = [], []
     for lo in range(0, len(ids), _ROWS):
-        s = x[lo : lo + _ROWS] @ x.T
+        s = _scores((x[0][lo : lo + _ROWS], x[1][lo : lo + _ROWS]), x)
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         out_v.append(ids[top])
@@ -115,13 +137,13 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
     pivots = max(1, min(MAX_PIVOTS, rows * SPREAD // PIVOT_ROWS)) if rows > CELL else 0
     if pivots:
         chosen = by_hash(vectors.select("vec_id", "x"), pivots, rows, "vec_id").toArrow()
-        shared = spark.sparkContext.broadcast(unpacked(chosen["x"], np.int8, width).astype(np.float32))
+        shared = spark.sparkContext.broadcast(_rows_of(chosen["x"], width))
 
     def cells(batches):
         centre = shared.value
-        spread = min(SPREAD, len(centre))
+        spread = min(SPREAD, len(centre[1]))
         for batch in batches:
-            near = unpacked(batch.column(1), np.int8, width).astype(np.float32) @ centre.T
+            near = _scores(_rows_of(batch.column(1), width), centre)
             near = np.argpartition(-near, spread - 1, axis=1)[:, :spread].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.full(len(near), spread), pa.array(near.reshape(-1))), batch.column(1)], names=["vec_id", "cells", "x"])
 
@@ -146,7 +168,7 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a < 2:
                     continue
-                count, v, s = _nearest(ids[a:b], unpacked(data.slice(a, b - a), np.int8, width), neighbours)
+                count, v, s = _nearest(ids[a:b], _rows_of(data.slice(a, b - a), width), neighbours)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), lists(count, pa.array(v)), lists(count, pa.array(s)), pa.array(np.zeros(b - a, bool))], names=["u", "v", "s", "old"])
 
     found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(near, "u long, v array<long>, s array<float>, old boolean")
@@ -172,11 +194,11 @@ def descend(graph: DataFrame, vectors: DataFrame, width: int, neighbours: int =
         for table in whole_groups(batches):
             centre, ids = table["centre"].to_numpy(), table["member"].to_numpy()
             fresh, kth = table["fresh"].to_numpy(), table["kth"].to_numpy()
-            x = unpacked(table["x"], np.int8, width).astype(np.float32)
+            x, fill = _rows_of(table["x"], width)
             edges = np.concatenate((np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1]))), [len(centre)]))
             owner, other, score = [], [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                s = x[a:b] @ x[a:b].T
+                s = _scores((x[a:b], fill[a:b]), (x[a:b], fill[a:b]))
                 good = (s > kth[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]) & (ids[a:b, None] != ids[None, a:b])
                 s = np.where(good, s, -np.inf)
                 k = min(send, b - a)
@@ -215,8 +237,8 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
     def pack(batches):
         for table in whole_groups(batches):
             node, count = np.unique(table["centre"].to_numpy(), return_counts=True)
-            edges = np.concatenate(([0], np.cumsum(count))) * width
-            x = unpacked(table["x"], np.int8, width)
+            edges = np.concatenate(([0], np.cumsum(count))) * (width + TAIL)
+            x = unpacked(table["x"], np.uint8, width + TAIL)
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(node), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(x.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(node), lists(count, table["member"].combine_chunks()), data], names=["u", "v", "x"])
 
@@ -232,10 +254,10 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
             rows = []
             for r in range(batch.num_rows):
                 q, floor = batch.column(0)[r].as_py(), batch.column(2)[r].as_py()
-                x = np.frombuffer(batch.column(1)[r].as_py(), np.int8).astype(np.float32)
+                x = decoded(np.frombuffer(batch.column(1)[r].as_py(), np.uint8)[None], width)[0][0]
                 ids = batch.column(3)[r].values.to_numpy()
-                # the extra components are the graph's: a query has none of them
-                s = np.frombuffer(batch.column(4)[r].as_py(), np.int8).reshape(-1, width).astype(np.float32) @ x
+                # the extra component is the graph's: a query has none
+                s = decoded(np.frombuffer(batch.column(4)[r].as_py(), np.uint8).reshape(-1, width + TAIL), width)[0] @ x
                 good = (s > floor) & (ids != q)
                 rows.append((q, ids[good], s[good]))
             count = np.array([len(r[1]) for r in rows], np.int64)
@@ -253,16 +275,24 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
             node, count = np.unique(owner, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(node), lists(count, pa.array(v)), lists(count, pa.array(s)), lists(count, pa.array(done == 1))], names=["q", "v", "s", "opened"])
 
-    bare = np.zeros(width, np.int8)
-    inner = width - _extra(vectors, width)
+    longest = _heads(vectors, HEADS).orderBy("vec_id").toArrow()
+    heads = spark.sparkContext.broadcast((longest["vec_id"].to_numpy(), matrix(longest["e"].combine_chunks(), width)))
 
-    def strip(x):
-        return F.concat(F.substring(x, 1, inner), F.lit(bare[inner:].tobytes()))
+    def headed(batches):
+        """(query_id, vec_id): the k best of the longest vectors for each query."""
+        for batch in batches:
+            ids, e = heads.value
+            q = batch.column(0).to_numpy()
+            s = matrix(batch.column(1), width) @ e.T
+            s[q[:, None] == ids] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            owner, other = np.repeat(q, top.shape[1]), ids[top].reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[owner != other]), pa.array(other[owner != other])], names=["query_id", "vec_id"])
 
     for step in range(SEARCH):
         waits = F.slice(F.filter(F.arrays_zip("v", "opened"), lambda z: ~z["opened"]), 1, OPEN)
         todo = beam.select("q", "x", F.when(F.size("s") >= BEAM, F.element_at("s", -1)).otherwise(F.lit(float("-inf")).cast("float")).alias("floor"), F.transform(waits, lambda z: z["v"]).alias("go"))
-        go = todo.select("q", strip(F.col("x")).alias("x"), "floor", F.explode("go").alias("u"))
+        go = todo.select("q", "x", "floor", F.explode("go").alias("u"))
         met = go.hint("shuffle_hash").join(near, "u").select("q", "x", "floor", "v", "near").mapInArrow(opened, "q long, v array<long>, s array<float>")
         met = met.select("q", "v", "s", F.transform("v", lambda v: F.lit(False)).alias("opened"))
         gone = F.transform(F.arrays_zip("v", "opened"), lambda z: z["opened"] | F.array_contains(F.col("go"), z["v"]))
@@ -274,6 +304,8 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
         remove(spark, table_path(beam)) if beam.inputFiles() else None
         beam = new
     pairs = beam.select(F.col("q").alias("query_id"), F.explode(F.slice("v", 1, 3 * k)).alias("vec_id"))
+    long = vectors.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "e").mapInArrow(headed, "query_id long, vec_id long")
+    pairs = pairs.unionByName(long).distinct()
     exact = pairs.join(vectors.select("vec_id", "e"), "vec_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("e").alias("f")), "query_id")
     score = F.aggregate(F.zip_with("e", "f", lambda a, b: F.coalesce(a, F.lit(0.0)) * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -284,10 +316,6 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
     return out
 
 
-def _extra(vectors: DataFrame, width: int) -> int:
-    return width - (vectors.agg(F.max(F.size("e"))).first()[0] or 0)
-
-
 def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score for the rows whose vec_id is divisible by every, against all others."""
     vectors, width = quantise(table)

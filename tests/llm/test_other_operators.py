@@ -82,6 +82,22 @@ def test_nearest_neighbours_where_no_hash_is_small(spark):
     assert ann.nearest(table).groupBy("query_id").count().where("count = 20").count() == 25
 
 
+def test_nearest_neighbours_beside_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 512)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[3, 40, 777]] *= [[500.0], [3000.0], [1e6]]
+    table = spark.createDataFrame([(k, [float(v) for v in r], 1) for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    got = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = [len(got[q] & set(np.argsort(-s[q])[:20])) for q in range(0, 1500, 20)]
+    assert sum(hit) / (20 * len(hit)) >= 0.9
+
+
 def test_bounded_sample_is_whole(spark):
     ids = spark.range(3000)
     assert by_hash(ids, 100, 3000, "id").count() == 100
