@@ -7,12 +7,16 @@ the vocabulary is that one token, as in the tiktoken library. Decoding joins the
 aggregates the bytes in the order of the positions.
 
 Encoded words stay in a direct-mapped table of bounded size on each Python worker (SLOTS words), by 64-bit hash,
-so that a frequent word meets DuckDB once a worker. Words of more than LONG bytes go through a heap instead,
-since a recursion would take a step for every merge. Nothing is shuffled; memory is bounded by PIECE bytes of
-text, DuckDB's limit and the table.
-
-Null texts are empty; an empty text has no tokens and decodes to no bytes. Texts that look like special tokens
-are plain text. Every row of the input gives one row, repeated or not.
+so that a frequent word meets DuckDB once a worker. A recursion keeps the rows of all its steps, about half the square
+of a word's bytes, so a query gets as many words as make WORK rows. Words of more than LONG bytes go through a heap
+that does the same contractions, since a recursion would read the whole word again for every merge. Nothing is
+shuffled; memory is bounded by PIECE bytes of text, DuckDB's limit, the table, and some 70 bytes for each byte of the
+longest word. A text of more than PIECE bytes is cut where a match must start, whatever stands around, and
+decoding takes RUN ids at a time.
+
+Null texts are empty; an empty text has no tokens and decodes to no bytes; an empty table gives an empty result. Rows
+without a doc_id are encoded like others. Texts that look like special tokens are plain text. Extra columns take no
+part, whatever their names. Every row of the input gives one row, repeated or not.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +42,22 @@ from .wordbytes import hash_spans
 LONG = 256
 #: Words that a worker remembers.
 SLOTS = 1 << 19
-#: Words in one recursive query.
-WORDS = 20_000
+#: Rows that the steps of one recursive query may make.
+WORK = 2_000_000
 PIECE = 2 << 20
+#: Ids decoded by one query.
+RUN = 1 << 19
 DUCKDB_MB = 200
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
+#: Places where a match starts whatever stands further away: a single blank within text, what follows a line's end, a word after punctuation.
+_APART = re.compile(r"(?<=\S) (?=\S)|(?<=\n)(?=\S)|(?<=[.,;:!?\u3001\u3002\uff01\uff0c\uff1f])(?=[^\W\d_])")
 
 ENCODE = """
 WITH RECURSIVE bpe(word, pos, tok, npos, ntok, step) AS (
   SELECT word, pos, tok, npos, ntok, 0 FROM start
   UNION ALL
   (WITH best AS (
-     SELECT a.word, min(m.merged * 4294967296 + a.pos * 65536 + a.npos) AS b
+     SELECT a.word, min(m.merged * 4294967296 + a.pos::BIGINT * 65536 + a.npos) AS b
      FROM bpe a JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + a.ntok GROUP BY a.word)
    SELECT s.word, s.pos,
      CASE WHEN s.pos = (b >> 16) & 65535 THEN (b >> 32)::INTEGER ELSE s.tok END,
@@ -123,26 +133,36 @@ def cut(text: bytes, edges: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return place[start]
 
 
-def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges by a heap, for long words."""
-    parts = [bytes([b]) for b in word]
-    left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-    heap = [(r, k, parts[k], parts[k + 1]) for k in range(len(parts) - 1) if (r := ranks.get(parts[k] + parts[k + 1])) is not None]
+def heap_encode(word: bytes, byte: np.ndarray, merges: dict[int, int]) -> array:
+    """The same contractions by a heap, for long words. byte: ids of single bytes; merges: of two ids (first * 65536 + second) the merged one."""
+    n = len(word)
+    tok = array("i", byte[np.frombuffer(word, np.uint8)].tobytes())
+    left, right = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+    heap = [r << 32 | k for k in range(n - 1) if (r := merges.get(tok[k] << 16 | tok[k + 1])) is not None]
     heapq.heapify(heap)
-    gone = [False] * len(parts)
     while heap:
-        _, k, a, b = heapq.heappop(heap)
-        n = right[k]
-        if gone[k] or n >= len(parts) or parts[k] != a or parts[n] != b:
+        best = heapq.heappop(heap)
+        k = best & 0xFFFFFFFF
+        after = right[k]
+        if tok[k] < 0 or after >= n or merges.get(tok[k] << 16 | tok[after]) != best >> 32:
             continue
-        parts[k], gone[n] = a + b, True
-        right[k] = right[n]
-        if right[k] < len(parts):
+        tok[k], tok[after] = best >> 32, -1
+        right[k] = right[after]
+        if right[k] < n:
             left[right[k]] = k
         for i, j in ((left[k], k), (k, right[k])):
-            if i >= 0 and j < len(parts) and (r := ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (r, i, parts[i], parts[j]))
-    return [ranks[p] for p, x in zip(parts, gone, strict=True) if not x]
+            if i >= 0 and j < n and (r := merges.get(tok[i] << 16 | tok[j])) is not None:
+                heapq.heappush(heap, r << 32 | i)
+    return array("i", (t for t in tok if t >= 0))
+
+
+def slices(text: str, size: int) -> list[str]:
+    """A text in parts of about size characters whose matches are those of the whole."""
+    out, at = [], 0
+    while len(text) - at > size and (m := _APART.search(text, at + size)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -160,6 +180,7 @@ class Codec:
         self.ranks, self.classes = ranks, classes
         pairs = [(ranks[t[:k]] * 65536 + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         merges = np.array(pairs, np.int64).reshape(-1, 2)
+        self.merges = dict(pairs)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         top = max(ranks.values()) + 1
         by_id = [b""] * top
@@ -201,11 +222,12 @@ class Codec:
             if (r := self.ranks.get(w)) is not None:
                 out[k] = [r]
             elif len(w) > LONG:
-                out[k] = heap_encode(w, self.ranks)
+                out[k] = np.frombuffer(heap_encode(w, self.byte, self.merges), np.int32)
             else:
                 rest.append(k)
-        for lo in range(0, len(rest), WORDS):
-            self._recurse(words, rest[lo : lo + WORDS], out)
+        work = np.cumsum([len(words[k]) * (len(words[k]) + 1) // 2 for k in rest]) // WORK
+        for lo, hi in zip(edges := [0, *(np.flatnonzero(np.diff(work)) + 1).tolist()], [*edges[1:], len(rest)], strict=True) if rest else ():
+            self._recurse(words, rest[lo:hi], out)
         counts = np.array([len(x) for x in out], np.int64)
         return (np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)), counts
 
@@ -213,7 +235,7 @@ class Codec:
         """Encode words[k] for k in rest, by one recursive query."""
         size = np.array([len(words[k]) for k in rest], np.int64)
         ends = np.cumsum(size)
-        pos = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        pos = (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32)
         tok = self.byte[np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)]
         following = np.append(tok[1:], -1)
         following[ends - 1] = -1
@@ -226,6 +248,12 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
+        if len(texts) == 1 and len(text := texts[0].as_py() or "") > PIECE:
+            found = [self._encode(pa.array([x]))[0] for x in slices(text, PIECE // 2)]
+            return np.concatenate(found), np.array([sum(map(len, found))], np.int64)
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -257,12 +285,14 @@ class Codec:
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text."""
         doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "tok": ids.astype(np.int32)}))
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("ids")
         out = [b""] * len(counts)
-        for k, x in zip(found["doc"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[k] = bytes.fromhex(x)
+        for lo in range(0, len(ids), RUN):
+            some = slice(lo, lo + RUN)
+            self.db.register("ids", pa.table({"doc": doc[some], "pos": np.arange(len(doc[some]), dtype=np.int32), "tok": ids[some].astype(np.int32)}))
+            found = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("ids")
+            for k, x in zip(found["doc"].to_pylist(), found["hex"].to_pylist(), strict=True):
+                out[k] += bytes.fromhex(x)
         return out
 
     def decimals(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
