@@ -46,6 +46,34 @@ def test_exact_search_small_tables(spark):
     assert vafile.top_k(wild).count() == 4
 
 
+def test_exact_search_of_large_components(spark):
+    """Whole numbers far beyond doubles: ranks and scores as Python's own, and an error instead of a score that is cut."""
+    draw = np.random.default_rng(3)
+    rows = [(k, [float(v) for v in draw.choice([2e5, -2e5, 200000.3, 1e-3, 7.0, 3e5], 6)], "x") for k in range(300)]
+    rows += [(300, [200000.0, 1.0], "x"), (301, [200000.0, 2.0], "x")]
+    kept = {k: [int(np.floor(1024 * x)) for x in v] for k, v, _ in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.top_k(table, every=50, k=7).collect())
+    assert got == sorted(exact(kept, sorted(kept), 50, 7, score))
+    assert score(kept[300], kept[301]) == 41943040002097152
+    wild = rows + [(400, [1e300, 1.0], "x"), (401, [1e300, -5.0], "x"), (402, [-1e300, 0.0], "x"), (403, [1e-300, 1e160], "x")]
+    kept = {k: [int(np.floor(1024 * x)) for x in v] for k, v, _ in wild}
+    found = vafile.top_k(spark.createDataFrame(wild, "vec_id long, embedding array<double>, score string"), every=50, k=7)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.select("query_id", "rank", "vec_id").collect())
+    assert got == sorted(w[:3] for w in exact(kept, sorted(kept), 50, 7, score))
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        found.collect()
+
+
+def test_exact_search_with_many_ties(spark):
+    """A vector that most rows share, in more blocks and parts than one."""
+    rows = [(k, [1.0, 0.5, 0.25] if k % 4 else [float(k % 7), 1.0, -0.5]) for k in range(2500)] + [(None, [1.0] * 3)]
+    kept = {k: [int(np.floor(1024 * x)) for x in v] for k, v in rows if k is not None}
+    got = sorted(tuple(r) for r in vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=6).collect())
+    assert got == sorted(exact(kept, sorted(kept), 100, 6, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))))
+
+
 def test_nearest_neighbours(spark):
     table, kept, n = vectors(spark, 700)
     want = exact(kept, sorted(kept), 20, 20, lambda a, b: sum(float(np.float32(x)) * float(np.float32(y)) for x, y in zip(a, b, strict=False)))
