@@ -1,9 +1,10 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are sorted by id over contiguous shards whose bounds come from exact byte counts of equal id ranges,
-refined where a range is heavy: the same rows give the same files, byte for byte. A task writes its shard as
-gzip members, one a record, and starts a new file when the compressed size reaches the limit. Headers and digests
-are made anew from the payload. Files get temporary names first and are renamed when complete; the manifest, written
+Records are range-sorted by id over contiguous shards. A shard ends where the running sum of payload bytes, in order
+of the ids, passes a multiple of the shard size, so it holds at most that and the records of one more id, whatever the
+corpus or the gaps in the ids, and the same rows give the same files, byte for byte. A task writes its shards (one, up
+to TASKS shards) as gzip members, one a record, and starts a new file when the compressed size reaches the limit.
+Headers and digests are made anew from the payload. Files get temporary names first and are renamed when complete; the manifest, written
 last and likewise, names the files that count with their sizes and hashes, so leftovers of lost tasks are never read.
 
 Of records with equal payloads of at least the given size the one with the least page_id is a response and the
@@ -12,8 +13,9 @@ its shard, along with the few rows that say which of its records are revisits. R
 and checks digests.
 
 Null payloads are empty; empty payloads follow the same rule. Rows that repeat a page_id are written one after
-another, by url and payload; of equal payloads the first is the response. Rows without an id are written last and
-never are what a revisit refers to, unless all have none. An empty table gives a manifest without files.
+another, by url and payload; of equal payloads the first is the response. Rows without an id are written last, dealt
+over shards by their digest, and never are what a revisit refers to, unless all have none. An empty table gives a manifest without files. Extra columns
+take no part, whatever their names.
 
 The folder may be of any file system that pyarrow opens by its URI (file, hdfs, s3, gs) and must be one that all
 machines share.
@@ -29,18 +31,23 @@ import json
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import keep, ship
+from .runtime import keep, ship, shuffle_partitions
 
 #: Payload bytes a shard aims at, and compressed bytes at which a file is closed.
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
-#: Id ranges counted at once; a heavy one is cut again so often.
-RANGES, DEPTH = 1024, 4
+#: Tasks that write; beyond so many shards a task writes several, one after another.
+TASKS = 20_000
+#: Shards whose first ids are broadcast, 8 bytes each (32 MB; 128 TB of payload); beyond, ids are joined with their shards.
+MOST_BOUNDS = 1 << 22
 SALT = 16
 DATE = "2000-01-01T00:00:00Z"
 
@@ -105,37 +112,60 @@ class _Roller:
             return
         self.out.close()
         self.out = None
-        name = f"part-{self.shard:06d}-{self.part:05d}.warc.gz"
+        name = f"part-{self.shard:08d}-{self.part:05d}.warc.gz"
         self.fs.move(self.temporary, f"{self.folder}/{name}")
         self.closed.append((self.shard, self.part, name, self.records, self.size, self.sum.hexdigest()))
         self.part += 1
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """Last ids of all shards but the last: contiguous ranges of about shard_bytes. sizes: page_id and bytes."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    bounds: list[int] = []
-    if low is None:
-        return bounds
-
-    def counted(lo: int, hi: int) -> list[tuple[int, int, int]]:
-        width = max(1, -(-(hi - lo + 1) // RANGES))
-        rows = sizes.where(F.col("page_id").between(lo, hi)).groupBy(F.expr(f"(page_id - {lo}L) div {width}L").alias("k")).agg(F.sum("bytes").alias("n")).collect()  # RANGES rows at most
-        return [(lo + r["k"] * width, min(hi, lo + (r["k"] + 1) * width - 1), r["n"]) for r in sorted(rows, key=lambda r: r["k"])]
-
-    ranges = counted(low, high)
-    for _ in range(DEPTH):
-        heavy = [r for r in ranges if r[2] > shard_bytes and r[1] > r[0]]
-        if not heavy or len(heavy) > RANGES // 4:
-            break
-        ranges = [x for r in ranges for x in (counted(r[0], r[1]) if r in heavy else [r])]
-    held = 0
-    for lo, hi, n in ranges:
-        if held and held + n > shard_bytes:
-            bounds.append(lo - 1)
-            held = 0
-        held += n
-    return bounds
+def numbered(sizes: DataFrame, shard_bytes: int) -> DataFrame:
+    """(page_id, shard) of every id that is not null: shards by the running sum of bytes before it. sizes: page_id and bytes."""
+    spark = sizes.sparkSession
+    ids = sizes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+
+    def run(batches):
+        own, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            before = total + np.cumsum(n) - n
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), own, np.int32)), pa.array(before), batch.column(1)], names=["page_id", "part", "before", "bytes"])
+
+    # where the ranges are cut depends on a sample; the sums over all of them do not
+    ranged = keep(ids.repartitionByRange(shuffle_partitions(spark), "page_id").sortWithinPartitions("page_id").mapInArrow(run, "page_id long, part int, before long, bytes long"), "sizes")
+    totals = ranged.groupBy("part").agg(F.min("page_id").alias("first"), F.sum("bytes").alias("n")).orderBy("first").collect()  # a row a partition
+    offsets, at = [], 0
+    for r in totals:
+        offsets.append((r["part"], at))
+        at += r["n"]
+    of = spark.createDataFrame(offsets, "part int, offset long")
+    return ranged.join(F.broadcast(of), "part").select("page_id", F.floor((F.col("offset") + F.col("before")) / F.lit(shard_bytes)).cast("long").alias("shard"))
+
+
+def dealt(rows: DataFrame, sizes: DataFrame, shard_bytes: int, most_bounds: int = MOST_BOUNDS) -> tuple[DataFrame, int]:
+    """rows with their shard, numbered from 0 without gaps (null for rows without an id), and how many shards there are."""
+    spark = rows.sparkSession
+    ids = numbered(sizes, shard_bytes)
+    firsts = keep(ids.groupBy("shard").agg(F.min("page_id").alias("first")), "shards")
+    count = firsts.count()
+    if count <= most_bounds:
+        bounds = spark.sparkContext.broadcast(np.sort(firsts.select("first").toArrow()["first"].to_numpy()))
+
+        @F.pandas_udf("int")
+        def shard(page_id: pd.Series) -> pd.Series:
+            return pd.Series((np.searchsorted(bounds.value, page_id.to_numpy(), side="right") - 1).astype(np.int32))
+
+        # no nulls on the way, which would make doubles of the ids
+        return rows.withColumn("shard", F.when(F.col("page_id").isNotNull(), shard(F.coalesce("page_id", F.lit(0).cast("long"))))), count
+    dense = firsts.withColumn("part", F.floor(F.col("shard") / 1024)).groupBy("part").count().collect()  # a row for 1,024 shards
+    before, at = [], 0
+    for r in sorted(dense, key=lambda r: r["part"]):
+        before.append((r["part"], at))
+        at += r["count"]
+    place = F.count(F.lit(1)).over(Window.partitionBy("part").orderBy("shard")) - 1
+    dense = firsts.withColumn("part", F.floor(F.col("shard") / 1024)).withColumn("place", place).join(spark.createDataFrame(before, "part long, offset long"), "part").select("shard", (F.col("offset") + F.col("place")).cast("int").alias("number"))
+    known = ids.join(dense, "shard").select("page_id", "number")
+    return rows.join(known, "page_id", "left").withColumnRenamed("number", "shard"), count
 
 
 def revisits(pages: DataFrame, least: int) -> DataFrame:
@@ -146,23 +176,26 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
     return slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(first, ["digest", "salt"]).select("page_id", "digest", "first").distinct()
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> list[dict]:
+def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, most_bounds: int = MOST_BOUNDS) -> list[dict]:
     """Write pages (page_id, url, html) under folder and return the manifest's entries."""
     spark = pages.sparkSession
     ship(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     slim = keep(rows.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), F.unhex(F.sha1("payload")).alias("digest")), "digests")
-    bounds = shard_bounds(slim.select("page_id", "bytes"), shard_bytes)
-    last = len(bounds)
-    if bounds:
-        shard = F.when(F.col("page_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("page_id"))))
-    else:
-        shard = F.lit(0)
     known = revisits(slim, least).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("payload"), "first")
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(known)
-    dealt = both.withColumn("shard", shard.cast("int")).repartitionById(last + 1, "shard")
-    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "url", "payload").select("shard", "page_id", "kind", "url", "payload", "first")
+    both, shards = dealt(both, slim.select("page_id", "bytes"), shard_bytes, most_bounds)
+    # rows without an id have no order: equal payloads go together, by their digest
+    unnamed = slim.where("page_id IS NULL").agg(F.sum("bytes"), F.count(F.lit(1))).first()
+    more = -(-unnamed[0] // shard_bytes) or 1 if unnamed[1] else 0
+    if more:
+        sha = F.when(F.col("kind") == 0, F.col("payload")).otherwise(F.unhex(F.sha1("payload")))
+        both = both.withColumn("shard", F.coalesce("shard", (F.pmod(F.xxhash64(sha), F.lit(more)) + shards).cast("int")))
+    shards = max(1, shards + more)
+    each = -(-shards // TASKS)
+    placed = both.withColumn("task", F.floor(F.col("shard") / each).cast("int")).repartitionById(-(-shards // each), "task")
+    placed = placed.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "url", "payload").select("shard", "page_id", "kind", "url", "payload", "first")
     schema = "shard int, part int, name string, records long, bytes long, sha256 string"
 
     def part(batches):
@@ -195,7 +228,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHAR
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.closed, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "part", "name", "records", "bytes", "sha256"])
 
     # a row for each file; sorted here, since a sort in Spark would run the writer twice to sample its rows
-    entries = sorted((r.asDict() for r in dealt.mapInArrow(part, schema).collect()), key=lambda e: (e["shard"], e["part"]))
+    entries = sorted((r.asDict() for r in placed.mapInArrow(part, schema).collect()), key=lambda e: (e["shard"], e["part"]))
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
     temporary = f"{path}/_temporary-{uuid.uuid4().hex}"

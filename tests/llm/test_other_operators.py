@@ -227,6 +227,39 @@ def test_warc_is_deterministic_and_whole(spark, tmp_path):
         warc.read(spark, str(tmp_path / "a")).collect()
 
 
+@pytest.mark.parametrize("most_bounds", [warc.MOST_BOUNDS, 0])
+def test_warc_shards_stay_small(spark, most_bounds):
+    """By stated bytes only: 20 GB, 2 TB, ids in clusters, and gaps beyond what a range of equal width can cut."""
+    unit = 32 << 20
+    cases = {
+        "20 GB": spark.range(200_000).selectExpr("id AS page_id", "100000L + id % 9 AS bytes"),
+        "2 TB": spark.range(200_000).selectExpr("id * 7 AS page_id", "10000000L + id % 9 AS bytes"),
+        "clusters": spark.range(100_000).selectExpr("if(id % 3 = 0, id, 4000000000000000000 + id) AS page_id", "1000000L AS bytes"),
+    }
+    for name, sizes in cases.items():
+        rows, shards = warc.dealt(sizes, sizes, unit, most_bounds)
+        found = rows.groupBy("shard").agg({"bytes": "sum", "page_id": "min"}).toPandas().sort_values("shard")
+        assert found["sum(bytes)"].max() <= 2 * unit and len(found) == shards, name
+        assert found["shard"].tolist() == list(range(shards)) and found["min(page_id)"].is_monotonic_increasing, name
+        assert shards <= found["sum(bytes)"].sum() // unit + 1, name
+
+
+def test_warc_rows_without_ids(spark, tmp_path):
+    rows = [(None, f"u{k}", "x" * 900 + str(k // 2)) for k in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(table, str(tmp_path / "a"), shard_bytes=4_000)
+    found = warc.read(spark, str(tmp_path / "a")).toPandas()
+    assert len(warc.manifest(str(tmp_path / "a"))) > 3 and len(found) == 40 and sorted(found.groupby("payload_digest")["record_type"].apply(lambda x: ",".join(sorted(x)))) == ["response,revisit"] * 20
+
+
+def test_warc_by_joined_shards(spark, tmp_path):
+    table, _ = pages(spark)
+    extra = table.selectExpr("*", "1 AS shard", "2 AS part", "3 AS first", "'x' AS payload", "4 AS kind")
+    a = warc.write(table, str(tmp_path / "a"), shard_bytes=20_000, file_bytes=3_000)
+    b = warc.write(extra, str(tmp_path / "b"), shard_bytes=20_000, file_bytes=3_000, most_bounds=0)
+    assert a == b
+
+
 def test_warc_empty_and_threshold(spark, tmp_path):
     table, _ = pages(spark)
     assert warc.write(table.limit(0), str(tmp_path / "e")) == [] and warc.read(spark, str(tmp_path / "e")).count() == 0
