@@ -1,7 +1,8 @@
 """Secret scans over every historical version of every path, by an incremental ledger of blobs.
 
-A version (a row of the input) is addressed by the SHA-256 of its text. The ledger has, for each blob scanned so
-far, which rules of which version have seen it and what they found. A run scans only the pairs of blob and
+A version (a row of the input) is addressed by the SHA-256 of its text. The ledger, a table that the caller stores,
+has for each blob scanned so far which rules of which version have seen it and what each of them found, by its name, so
+that rules may be added, dropped, put in another order or get a new version between runs. A run scans only the pairs of blob and
 rule version that the ledger lacks, each blob once however many paths hold it, and joins findings back to all
 paths. Everything here is DataFrame expressions: matches come from regexp_extract_all, and their places from the
 lengths of the pieces that split() leaves between them.
@@ -55,24 +56,27 @@ GATE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|-----BEGIN|gh[pousr]
 SALT = 16
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: What the ledger holds: the rule by name and version.
+_ENTRY = "array<struct<start:int,rule:string,end:int>>"
+LEDGER = f"blob binary, rules array<string>, spans {_ENTRY}"
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """(start, kind, end) of the rule's matches that stay, in code points."""
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """(start, rule, end) of the rule's matches that stay, in code points."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("between"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("place"), F.array().cast(_SPAN).alias("spans"))
+    start = F.struct(F.lit(0).alias("place"), F.array().cast(_ENTRY).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["place"] + F.length(x["between"])
         end = at + F.length(x["whole"])
-        found = F.array(F.struct(at.alias("start"), F.lit(order).alias("kind"), end.alias("end"))).cast(_SPAN)
+        found = F.array(F.struct(at.alias("start"), F.lit(rule.key).alias("rule"), end.alias("end"))).cast(_ENTRY)
         stays = x["whole"].isNotNull() & (F.length(x["value"]) >= rule.least)
         return F.struct(F.coalesce(end, at).alias("place"), F.when(stays, F.concat(acc["spans"], found)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(whole) > 0, F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_ENTRY))
 
 
 def address(text: Column) -> Column:
@@ -91,28 +95,28 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
         blobs = blobs.join(known, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
     todo = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.col("seen"))
     blobs = blobs.withColumn("todo", todo).where(F.size("todo") > 0)
-    none = F.array().cast(_SPAN)
-    each = [F.when(F.col("body").isNotNull() & F.array_contains("todo", r.key), rule_spans(F.col("body"), r, k)).otherwise(none) for k, r in enumerate(rules)]
+    none = F.array().cast(_ENTRY)
+    each = [F.when(F.col("body").isNotNull() & F.array_contains("todo", r.key), rule_spans(F.col("body"), r)).otherwise(none) for r in rules]
     return blobs.select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of docs (doc_id, blob, spans), and the rows to append to the ledger.
 
-    ledger must come from runs whose rules stood at the same places of the rule list, or be None.
+    ledger: what earlier runs gave for it, or None. The findings are those of the given rules and versions only.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     versions = keep(docs.select("doc_id", address(F.col("text").cast("string")).alias("blob"), F.when(text.rlike(GATE), text).alias("body")), "versions")
     new = keep(unseen(versions, ledger, rules), "ledger")
-    found = new.where(F.size("spans") > 0).select("blob", "spans")
-    if ledger is not None:
-        current = [r.key for r in rules]
-        kinds = [k for k in range(len(rules))]
-        old = ledger.where(F.size("spans") > 0).where(F.arrays_overlap("rules", F.array(*[F.lit(k) for k in current])))
-        valid = F.array(*[F.when(F.array_contains("rules", current[k]), F.lit(k)).otherwise(F.lit(-1)) for k in kinds])
-        old = old.select("blob", F.filter("spans", lambda s: F.array_contains(valid, s["kind"])).alias("spans"))
-        found = found.unionByName(old).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return attach(versions, found), new
+    return attach(versions, findings(new if ledger is None else ledger.unionByName(new), rules)), new
+
+
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs in which the rules found anything: spans by start and then the rule's place."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    now = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
+    found = ledger.select("blob", F.transform(now, lambda s: F.struct(s["start"].alias("start"), (F.array_position(keys, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end"))).alias("spans"))
+    return found.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def attach(versions: DataFrame, found: DataFrame) -> DataFrame:
@@ -143,8 +147,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     gate = text.rlike(GATE)
     names = docs.columns
     gated = keep(packed(docs.where(gate), "doc_id", "text").withColumn("blob", address(F.col("text"))).withColumn("body", F.col("text")), "versions")
-    new = unseen(gated.select("blob", "body"), None, rules).where(F.size("spans") > 0).select("blob", "spans")
-    both = attach(gated.withColumn("body", F.lit("")), new)
+    new = unseen(gated.select("blob", "body"), None, rules)
+    both = attach(gated.withColumn("body", F.lit("")), findings(new, rules))
     start = F.struct(F.lit(0).alias("place"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
