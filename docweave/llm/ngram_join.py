@@ -5,14 +5,17 @@ to four words has one run, of all its words. Texts of equal sets form a class at
 set), so exact copies never meet in a join. Of each class one signature is cut into bands; bands and rows are
 chosen so that a pair at the threshold shares a band with the target recall.
 
-Buckets of at most SMALL classes give their pairs, each pair verified once. Larger buckets are merged into families by
-connected components and a family is verified block against block, BLOCK classes each, in matrix products:
-pairs within are counted where they are found and never become rows, and no task holds more than two blocks.
-Sets are only moved for classes that have a candidate: a fixed-size bitmap of their ids filters the second pass.
+Only classes that share a bucket (a band hash) are ever compared, and two classes are compared in one bucket: that of the
+first band that they share, which the band hashes sent along tell. So no pair becomes a row, nothing has to be made
+distinct, and a chain of buckets costs no more than its buckets. Of a bucket of at most SMALL classes only those travel
+that have a partner to be compared with there. A larger one is dealt into blocks of about BLOCK_BYTES of sets, block
+against block, each compared tile by tile in matrix products; a task holds two blocks at most. Sets are only moved
+for classes that have a candidate: a fixed-size bitmap of their ids filters the second pass.
 
 Every row of the input gives one row: its class (the least doc_id of its connected component) and its links (the
 number of other rows at or above the threshold, copies included). Null, empty and blank texts have no runs: they
-link to nothing and their class is their own id. Equal rows are copies of each other.
+link to nothing and their class is their own id. Equal rows are copies of each other. An empty table gives an empty
+result; extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MOST_HASHES = 128
 SMALL = 32
-BLOCK = 512
+BLOCK_BYTES = 16 << 20
+#: Sets of one matrix product, on either side.
+TILE = 512
 SALT = 16
 #: Bits of the bitmap of candidate ids (1 MB).
 BITS = 1 << 23
@@ -84,8 +89,12 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set id, set size and band hashes of every row."""
+    """doc_id, hash of the text, set id, set size and band hashes of every row."""
     ship(docs.sparkSession)
 
     def part(batches):
@@ -95,10 +104,10 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 found = band_hashes(values, sizes, bands, rows)
                 offsets = np.concatenate(([0], np.cumsum((sizes > 0) * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_ids(values, sizes)), pa.array(sizes), lists], names=["doc_id", "sid", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(set_ids(values, sizes)), pa.array(sizes), lists], names=["doc_id", "th", "sid", "n", "bands"])
         trim()
 
-    return _text(docs).mapInArrow(part, "doc_id long, sid long, n long, bands array<long>")
+    return _text(docs).select("doc_id", "text", text_hash().alias("th")).mapInArrow(part, "doc_id long, th long, sid long, n long, bands array<long>")
 
 
 def may_hold(docs: DataFrame, ids: DataFrame, name: str = "_may") -> DataFrame:
@@ -166,62 +175,75 @@ def _roots(sids: np.ndarray, links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(sid, links, root): two rows for each pair (a, b) that reaches the threshold."""
+def cells(classes: DataFrame, threshold: float, small: int, block_bytes: int) -> DataFrame:
+    """(band, j, p, q, own, sid): who meets whom. Sets of one (band, j, p, q) are compared, own p with own q."""
+    places = classes.select("sid", "n", F.posexplode("bands").alias("j", "band"))
+    buckets = places.groupBy("band", "j").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    buckets = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    held = keep(places.withColumn("salt", F.pmod("sid", F.lit(SALT)).cast("int")).join(buckets, ["band", "j", "salt"]).drop("salt"), "buckets")
 
-    def part(batches):
-        for batch in batches:
-            a, b, copies_a, copies_b = (batch.column(k).to_numpy() for k in range(4))
-            keep_a, keep_b, ca, cb = [], [], [], []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= threshold * (len(x) + len(y) - common) - 1e-6:
-                    keep_a.append(a[k]), keep_b.append(b[k]), ca.append(copies_a[k]), cb.append(copies_b[k])
-            root = np.minimum(keep_a, keep_b) if keep_a else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (keep_a + keep_b, cb + ca, [*root, *root])], names=["sid", "links", "root"])
-
-    one = sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a"), F.col("copies").alias("copies_a"))
-    two = sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b"), F.col("copies").alias("copies_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "copies_a", "copies_b", "set_a", "set_b").mapInArrow(part, "sid long, links long, root long")
-
-
-def verify_families(family: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(sid, links, root) from all pairs within each family (sid, family), block against block."""
-    size = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = family.join(size, "family").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "sid")
-    rows = cells.join(sets, "sid").select("family", "p", "q", "own", "sid", "copies", "set")
-    rows = rows.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
+    few = held.where(F.col("size") <= small).join(classes.select("sid", "bands"), "sid").groupBy("band", "j").agg(F.collect_list(F.struct("sid", "n", "bands")).alias("m"))
+    before = lambda x, y: F.exists(F.slice(F.zip_with(x["bands"], y["bands"], lambda a, b: a == b), F.lit(1), F.col("j")), lambda e: e)
+    near = lambda x, y: (x["sid"] != y["sid"]) & (F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - 1e-6) & ~before(x, y)
+    meets = F.filter("m", lambda x: F.exists("m", lambda y: near(x, y)))
+    zero = F.lit(0)
+    few = few.select("band", "j", zero.alias("p"), zero.alias("q"), zero.alias("own"), F.explode(meets).alias("x")).select("band", "j", "p", "q", "own", "x.sid")
+
+    blocks = held.where(F.col("size") > small).withColumn("blocks", F.ceil(F.col("weight") * 8 / block_bytes).cast("int"))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = blocks.select("band", "j", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "sid")
+    return keep(few.unionByName(many), "cells")
+
+
+def compared(left: tuple, right: tuple, j: int, threshold: float) -> np.ndarray:
+    """Which pairs of two tiles (sids, copies, bands, sets) are links that no band before j finds."""
+    near = _links(left[3], right[3], threshold)
+    near &= left[0][:, None] != right[0][None, :]
+    for k in range(j):
+        if not near.any():
+            break
+        near &= left[2][:, k, None] != right[2][None, :, k]
+    return near
+
+
+def verify(cells_: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(sid, links, root) from all pairs that meet in a cell."""
+    rows = cells_.join(sets, "sid").join(classes.select("sid", "bands"), "sid").select("band", "j", "p", "q", "own", "sid", "copies", "bands", "set")
+    rows = rows.repartition("band", "j", "p", "q").sortWithinPartitions("band", "j", "p", "q")
+
+    def tiles(part: list[tuple]) -> list[tuple]:
+        cut = [part[k : k + TILE] for k in range(0, len(part), TILE)]
+        return [(np.array([r[5] for r in x], np.int64), np.array([r[6] for r in x], np.int64), np.array([r[7] for r in x], np.int64), [np.frombuffer(r[8], np.uint64) for r in x]) for x in cut]
 
     def solve(group: list[tuple]):
-        p, q = group[0][1], group[0][2]
-        left = [g for g in group if g[3] == p]
-        right = left if p == q else [g for g in group if g[3] == q]
-        if not left or not right:
+        _, j, p, q = group[0][:4]
+        left = tiles([g for g in group if g[4] == p])
+        right = left if p == q else tiles([g for g in group if g[4] == q])
+        ids, links, roots = [], [], []
+        for a, x in enumerate(left):
+            for b, y in enumerate(right):
+                if p == q and b < a:
+                    continue
+                hit = compared(x, y, j, threshold)
+                if p == q and a == b:
+                    ids.append(x[0]), links.append(hit @ x[1]), roots.append(_roots(x[0], hit))
+                    continue
+                both = np.concatenate((x[0], y[0]))
+                full = np.zeros((len(both), len(both)), bool)
+                full[: len(x[0]), len(x[0]) :] = hit
+                full[len(x[0]) :, : len(x[0])] = hit.T
+                ids.append(both), links.append(np.concatenate((hit @ y[1], hit.T @ x[1]))), roots.append(_roots(both, full))
+        if not ids:
             return None
-        arrays = lambda part: [np.frombuffer(g[6], np.uint64) for g in part]
-        sids = lambda part: np.array([g[4] for g in part], np.int64)
-        copies = lambda part: np.array([g[5] for g in part], np.int64)
-        hit = _links(arrays(left), arrays(right), threshold)
-        if p == q:
-            np.fill_diagonal(hit, False)
-            ids, full, links = sids(left), hit, hit @ copies(left)
-        else:
-            ids = np.concatenate((sids(left), sids(right)))
-            full = np.zeros((len(ids), len(ids)), bool)
-            full[: len(left), len(left) :] = hit
-            full[len(left) :, : len(left)] = hit.T
-            links = np.concatenate((hit @ copies(right), hit.T @ copies(left)))
+        ids, links, roots = np.concatenate(ids), np.concatenate(links), np.concatenate(roots)
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(_roots(ids, full)[some])], names=["sid", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(roots[some])], names=["sid", "links", "root"])
 
     def part(batches):
         group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if group and row[:3] != group[0][:3]:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if group and row[:4] != group[0][:4]:
                     if (out := solve(group)) is not None:
                         yield out
                     group = []
@@ -233,56 +255,48 @@ def verify_families(family: DataFrame, sets: DataFrame, threshold: float, block:
     return rows.mapInArrow(part, "sid long, links long, root long")
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id and n_links of every row of docs."""
+def _joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, small: int = SMALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, th, class_id, n_links and stays (whether a row is the one of its class that deduplicate keeps) of every row."""
     bands, rows = bands_for(threshold, recall)
     marked = keep(sketch(docs, words, bands, rows), "sketch")
-    classes = keep(marked.where("n > 0").groupBy("sid", "n", "bands").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    places = classes.select("sid", "n", F.explode("bands").alias("band"))
-    buckets = places.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("head")).where("size > 1")
-    buckets = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    held = keep(places.withColumn("salt", F.pmod("sid", F.lit(SALT)).cast("int")).join(buckets, ["band", "salt"]).drop("salt"), "buckets")
-
-    few = held.where(F.col("size") <= small).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("sid", "n"))).alias("m"))
-    pair = lambda x, y: F.struct(x["sid"].alias("a"), y["sid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
-    rest = lambda m, i: F.slice(m, i + 2, F.greatest(F.size(m) - i - 1, F.lit(0)))
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(rest(F.col("m"), i), lambda y: pair(x, y))))
-    near = F.filter(pairs, lambda z: F.least(z["na"], z["nb"]) >= threshold * F.greatest(z["na"], z["nb"]) - 1e-6)
-    pairs = keep(few.select(F.explode(near).alias("z")).select("z.a", "z.b").distinct(), "pairs")
-
-    family = components(held.where(F.col("size") > small).select(F.col("sid").alias("a"), F.col("head").alias("b")), "families")
-    family = keep(family.select(F.col("node").alias("sid"), F.col("root").alias("family")), "family")
-    own = lambda c: family.select(F.col("sid").alias(c), F.col("family").alias(f"family_{c}"))
-    pairs = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("family_a IS NULL OR family_b IS NULL OR family_a <> family_b").select("a", "b")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(family.select("sid")).distinct()
-    wanted = keep(classes.select("sid", "doc_id", "copies").join(wanted, "sid", "left_semi"), "wanted")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("least")
+    classes = keep(marked.where("n > 0").groupBy("sid", "n", "bands").agg(least, F.count(F.lit(1)).alias("copies")), "classes")
+    met = cells(classes, threshold, small, block_bytes)
+    wanted = keep(classes.select("sid", F.col("least.doc_id").alias("doc_id"), "copies").join(met.select("sid").distinct(), "sid", "left_semi"), "wanted")
     sets = candidate_sets(docs, wanted, words)
-    found = keep(verify_pairs(pairs, sets, threshold).unionByName(verify_families(family, sets, threshold, block)), "links")
+    found = keep(verify(met, classes, sets, threshold), "links")
     return finish(marked, classes, found)
 
 
+def ngram_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id and n_links of every row of docs."""
+    return _joined(docs, **options).select("doc_id", "class_id", "n_links")
+
+
 def finish(marked: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row's class and links from the links between classes. """
+    """Every row's class and links from the links between classes."""
     roots = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), "roots")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    known = classes.select("sid", "doc_id", "copies").join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").where("copies > 1 OR root IS NOT NULL")
+    known = classes.select("sid", "least", "copies").join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").where("copies > 1 OR root IS NOT NULL")
     known = keep(known.withColumn("root", F.coalesce("root", "sid")), "known")
-    least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    info = known.join(least, "root").select("sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    first = known.groupBy("root").agg(F.min("least").alias("first"))
+    info = known.join(first, "root").select("sid", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    dealt = marked.select("doc_id", "sid", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
-    out = dealt.where("n > 0").join(info, ["sid", "salt"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.unionByName(dealt.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    dealt = marked.select("doc_id", "th", "sid", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    stays = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th")), F.lit(True))
+    out = dealt.where("n > 0").join(info, ["sid", "salt"], "left").select("doc_id", "th", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), stays.alias("stays"))
+    return out.unionByName(dealt.where("n = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays")))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, that of the least doc_id; rows without an id stay.
+    """docs with one row of each class, of the least doc_id (of its texts, if it has several in the class, that of the least hash); rows without an id stay.
 
     Only rows that may go are shuffled; equal rows of one doc_id become one.
     """
-    classes = keep(ngram_join(docs, **options).select("doc_id", "class_id"), "joined")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    marked = may_hold(packed(docs, "doc_id", "text"), gone.unionByName(twice))
-    suspects = marked.where("_may").drop("_may").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return marked.where("NOT _may").select("_row.*").unionByName(suspects.select("_row.*"))
+    rows = keep(_joined(docs, **options).where("doc_id IS NOT NULL").select("doc_id", "th", "stays"), "joined")
+    gone = rows.where(~F.col("stays")).select("doc_id", "th").distinct()
+    twice = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    marked = may_hold(packed(docs, "doc_id", "text"), gone.select("doc_id").unionByName(twice))
+    suspects = marked.where("_may").withColumn("th", text_hash()).drop("_may").join(gone, ["doc_id", "th"], "left_anti")
+    once = suspects.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "th"]).unionByName(suspects.where("doc_id IS NULL"))
+    return marked.where("NOT _may").select("_row.*").unionByName(once.select("_row.*"))

@@ -63,10 +63,11 @@ def near_texts():
     return out + [text(draw, 60) for _ in range(10)]
 
 
-@pytest.mark.parametrize(("small", "block"), [(32, 512), (3, 5)])
-def test_ngram_join_equals_brute_force(spark, small, block):
+@pytest.mark.parametrize(("small", "block", "tile"), [(32, 16 << 20, 512), (3, 2000, 4)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, small, block, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     docs = documents(spark, near_texts())
-    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs, small=small, block=block).collect()}
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs, small=small, block_bytes=block).collect()}
     assert found == jaccard_brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 0.8)
 
 
@@ -78,6 +79,29 @@ def test_deduplicate(spark):
     assert ngram_join.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_deduplicate_with_repeated_ids(spark):
+    """An id with two texts: one a copy of another document, one of its own; and one with two near texts."""
+    draw = random.Random(8)
+    a, b, c = (text(draw, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, c), (7, c + " end"), (None, a), (9, None), (9, None)], "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in ngram_join.deduplicate(docs).collect()), key=str)
+    assert [k[0] for k in kept] == [0, 1, 5, 7, 9] and (5, b) in kept and (1, a) in kept
+
+
+def test_cells_meet_once_and_only_within_buckets(spark):
+    """A chain of texts of which only neighbours are near: what meets grows with the chain, not with its square."""
+    draw = random.Random(12)
+    w = text(draw, 3000).split()
+    docs = documents(spark, [" ".join(w[4 * k : 4 * k + 120]) for k in range(400)])
+    bands, rows = ngram_join.bands_for(0.8, 0.999)
+    marked = ngram_join.sketch(docs, 5, bands, rows)
+    classes = marked.where("n > 0").groupBy("sid", "n", "bands").agg({"doc_id": "min"}).cache()
+    met = ngram_join.cells(classes, 0.8, 32, 16 << 20)
+    assert met.count() < 400 * 2 * bands and met.groupBy("band", "j", "p", "q").count().where("count > 40").count() == 0
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs).collect()}
+    assert found == jaccard_brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 0.8)
+
+
 def test_bands():
     b, r = ngram_join.bands_for(0.8, 0.999)
     assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.999
