@@ -1,23 +1,26 @@
 """A hierarchical Pitman-Yor language model, Chinese-restaurant seating sampled by Gibbs.
 
-A token's context is how the word before it ends: its last two bytes (or the start of the text). Context restaurants
-of two bytes have the restaurant of the last byte as parent, those share the root, and the root's base is uniform
-over the known words and one unknown. So every text position has a context whatever the vocabulary, there are at most
-65,794 restaurants, and what grows with the corpus are their dishes: every pair of word and context is counted over
-all training texts.
+A token's context is the word before it (or the start of the text). A context's restaurant is found by a hash of the whole
+word: SLOTS restaurants for each of 32 classes of the word's last byte. A class's restaurants share the parent of that
+class, the classes share the root, and the root's base is uniform over the known words and one unknown. So
+words that are frequent enough to tell apart have a restaurant of their own, the rare ones share some, and every text
+position has a context whatever the vocabulary; there are at most 1,048,577 restaurants, whose totals every task
+can hold. What grows with the corpus are their dishes: every pair of word and context is counted over all training texts.
 
 Counting and sampling are dealt by word, since all dishes of a word in all restaurants depend on each other only through
 the restaurants' totals. A sweep resamples the number of tables of every dish from its conditional given all others
 (weights a^t S(c, t) with generalised Stirling numbers up to CLOSED customers, and the normal or Poisson limit of
-the same weights beyond), level by level; restaurant totals are those of the sweep before. After BURN sweeps, SAMPLES seatings are
-kept and their predictive probabilities averaged. Discounts are the usual estimate n1 / (n1 + 2 n2) of each level.
+the same weights beyond), level by level; restaurant totals are those of the sweep before. Then the concentration of each
+level is drawn from its conditional given all totals, over GRID. After BURN sweeps, SAMPLES seatings are kept and
+their predictive probabilities averaged. Discounts are the usual estimate n1 / (n1 + 2 n2) of each level.
 
 Rows move as compressed blocks of many words, not one by one. Scores of the at most HEAD most frequent pairs go to all
 tasks as one table of bounded size; the other positions are dealt by word, scored where the word's dishes are, and summed
 for each text. So a frequent word is no hot key, and nothing is dropped.
 
 Null texts are empty and have one token, the end. Words are known by 64-bit hashes. Rows without an id count as
-training rows. Without training rows every probability is 1. Every row of the input gives one row.
+training rows. Without training rows every probability is 1. Every row of the input gives one row; an empty table gives
+none. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +38,12 @@ from .vectors import whole_groups
 from .wordbytes import _GOLD, Words, mix
 
 END = np.uint64(0x7F4A7C15D1B54A33)
-START = 256 << 8
-BURN, SAMPLES = 2, 3
-CONCENTRATION = (1.0, 1.0, 1.0)
+#: Bits of a context's slot, below its class; the last class is the start of a text.
+SLOT, CLASSES = 15, 33
+START = (CLASSES - 1) << SLOT
+BURN, SAMPLES = 4, 4
+#: Concentrations that are drawn from, with equal odds before the data.
+GRID = np.geomspace(0.05, 2000.0, 64)
 CLOSED = 48
 HEAD = 1 << 20
 #: Tasks of the last step but one of a sum over all restaurants.
@@ -60,9 +66,8 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = Words(texts)
     count = np.diff(words.first)
     n = len(words)
-    size = words.ends - words.starts
-    code = words.data[words.ends - 1].astype(np.int32) << 8
-    code += np.where(size > 1, words.data[np.maximum(words.ends - 2, 0)], 0)
+    code = (words.data[words.ends - 1] & 31).astype(np.int32) << SLOT
+    code += (words.hash >> np.uint64(40)).astype(np.int32) & ((1 << SLOT) - 1)
     text = np.repeat(np.arange(len(count)), count)
     at = np.arange(n) + text
     total = n + len(count)
@@ -147,12 +152,12 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 class Dishes:
-    """The dishes of one bucket: words, the pairs of word and byte, and the pairs of word and two bytes."""
+    """The dishes of one bucket: words, the pairs of word and class, and the pairs of word and context."""
 
     def __init__(self, words: np.ndarray, runs: np.ndarray, codes: np.ndarray, counts: np.ndarray):
         self.words, self.codes, self.counts = words, codes, counts
         self.word = np.repeat(np.arange(len(words)), runs)
-        one = codes >> 8
+        one = codes >> SLOT
         head = np.ones(len(codes), bool)
         head[1:] = (self.word[1:] != self.word[:-1]) | (one[1:] != one[:-1])
         self.pair_at = np.flatnonzero(head)
@@ -162,27 +167,44 @@ class Dishes:
         self.word_count = np.bincount(self.word, weights=counts, minlength=len(words)).astype(np.int64)
 
     def up(self, t2: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Customers of the one-byte restaurants and of the root: a table below sends one."""
+        """Customers of the classes' restaurants and of the root: a table below sends one."""
         return (np.add.reduceat(t2, self.pair_at) if len(t2) else t2), (np.add.reduceat(t1, self.word_at) if len(t1) else t1)
 
 
 class Totals:
-    """Customers and tables of every restaurant; what all tasks share. vocabulary: known words."""
+    """Customers and tables of every restaurant, discounts and concentrations; what all tasks share. vocabulary: known words."""
 
-    def __init__(self, discounts: tuple[float, float, float], vocabulary: int):
-        self.d, self.v = discounts, vocabulary
-        self.c2, self.t2 = np.zeros(START + 1), np.zeros(START + 1)
-        self.c1, self.t1 = np.zeros(257), np.zeros(257)
+    def __init__(self, discounts: tuple[float, float, float], vocabulary: int, concentrations: tuple[float, float, float] = (1.0, 1.0, 1.0)):
+        self.d, self.v, self.th = discounts, vocabulary, concentrations
+        self.c2, self.t2 = np.zeros(START + 1, np.int64), np.zeros(START + 1, np.int64)
+        self.c1, self.t1 = np.zeros(CLASSES), np.zeros(CLASSES)
         self.c0 = self.t0 = 0.0
 
     def root(self, c, t):
-        return (c - self.d[0] * t + (CONCENTRATION[0] + self.d[0] * self.t0) / (self.v + 1)) / (CONCENTRATION[0] + self.c0)
+        return (c - self.d[0] * t + (self.th[0] + self.d[0] * self.t0) / (self.v + 1)) / (self.th[0] + self.c0)
 
     def one(self, code, c, t, parent):
-        return (c - self.d[1] * t + (CONCENTRATION[1] + self.d[1] * self.t1[code]) * parent) / (CONCENTRATION[1] + self.c1[code])
+        return (c - self.d[1] * t + (self.th[1] + self.d[1] * self.t1[code]) * parent) / (self.th[1] + self.c1[code])
 
     def two(self, code, c, t, parent):
-        return (c - self.d[2] * t + (CONCENTRATION[2] + self.d[2] * self.t2[code]) * parent) / (CONCENTRATION[2] + self.c2[code])
+        return (c - self.d[2] * t + (self.th[2] + self.d[2] * self.t2[code]) * parent) / (self.th[2] + self.c2[code])
+
+    def concentrations(self, draw: np.random.Generator) -> tuple[float, float, float]:
+        """One for each level, from its conditional given customers and tables of all restaurants of the level."""
+        out = []
+        for d, c, t in ((self.d[0], np.array([self.c0]), np.array([self.t0])), (self.d[1], self.c1, self.t1), (self.d[2], self.c2, self.t2)):
+            (cs, nc), (ts, nt) = np.unique(c[c > 0], return_counts=True), np.unique(t[c > 0], return_counts=True)
+            weight = np.array([nt @ (log_gamma(x / d + ts) - log_gamma(x / d)) - nc @ (log_gamma(x + cs) - log_gamma(x)) if len(cs) else 0.0 for x in GRID])
+            out.append(float(GRID[np.argmax(weight + draw.gumbel(size=len(GRID)))]))
+        return tuple(out)
+
+
+def log_gamma(x):
+    """By the series of Stirling at x + 8."""
+    x = np.asarray(x, float)
+    y = x + 8
+    low = np.log(x) + np.log(x + 1) + np.log(x + 2) + np.log(x + 3) + np.log(x + 4) + np.log(x + 5) + np.log(x + 6) + np.log(x + 7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
 def stirling(d: float, most: int = CLOSED) -> np.ndarray:
@@ -235,8 +257,9 @@ def _many_tables(c: np.ndarray, a: np.ndarray, d: float, draw: np.random.Generat
 
 
 _STATE = "bucket int, words binary, runs binary, codes binary, counts binary, t2 array<binary>, t1 array<binary>, t0 array<binary>, place binary, amount binary, tokens long, vocabulary long, ones array<long>, large array<long>"
-#: Places of totals: customers and tables of codes, of bytes, of the root.
-_C2, _T2, _C1, _T1, _C0, _T0 = 0, 1 << 17, 1 << 18, (1 << 18) + 512, (1 << 18) + 1024, (1 << 18) + 1025
+#: Places of totals: customers and tables of contexts, of classes, of the root.
+_C2, _T2 = 0, START + 1
+_C1, _T1, _C0, _T0 = 2 * _T2, 2 * _T2 + CLASSES, 2 * _T2 + 2 * CLASSES, 2 * _T2 + 2 * CLASSES + 1
 
 
 def _state(bucket: int, blocks: tuple[bytes, ...], dishes: Dishes, t2s: list, t1s: list, t0s: list) -> tuple:
@@ -278,13 +301,15 @@ def seat(counted: DataFrame) -> DataFrame:
     return keep(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(part, _STATE), "seating")
 
 
-def totals(states: DataFrame, discounts: tuple[float, float, float] | None = None) -> tuple[Totals, int]:
-    """The restaurants' totals (at most 131,590 sums) and the number of training tokens."""
+def totals(states: DataFrame, before: Totals | None = None, seed: int = 0) -> tuple[Totals, int]:
+    """The restaurants' totals (at most 2,097,222 sums) and the number of training tokens. before: those of the sweep before."""
     n, v, *ones = states.agg(F.sum("tokens"), F.sum("vocabulary"), *[F.sum(F.get("ones", F.lit(k))) for k in range(6)]).first()
-    if discounts is None:
+    if before is not None:
+        discounts = before.d
+    else:
         pick = lambda a, b: min(0.95, max(0.05, (a or 0) / max(1, (a or 0) + 2 * (b or 0))))
         discounts = tuple(pick(ones[2 * k], ones[2 * k + 1]) for k in range(3))
-    out = Totals(discounts, v or 0)
+    out = Totals(discounts, v or 0, before.th if before else (1.0, 1.0, 1.0))
     # one dense sum for each task, then for each of WAYS: what is left to collect has a fixed size
     sums = states.select("place", "amount").mapInArrow(_add, "place binary, amount binary").repartition(WAYS).mapInArrow(_add, "place binary, amount binary").collect()
     dense = np.zeros(_T0 + 1)
@@ -293,6 +318,9 @@ def totals(states: DataFrame, discounts: tuple[float, float, float] | None = Non
     for base, x in ((_C2, out.c2), (_T2, out.t2), (_C1, out.c1), (_T1, out.t1)):
         x[:] = dense[base : base + len(x)]
     out.c0, out.t0 = float(dense[_C0]), float(dense[_T0])
+    if before is not None:
+        out.c2 = before.c2  # one array for all seatings: customers of the lowest level never change
+    out.th = out.concentrations(np.random.default_rng([seed, 1]))
     return out, int(n or 0)
 
 
@@ -324,11 +352,11 @@ def sweep(states: DataFrame, now: Totals, number: int, add: bool) -> DataFrame:
                 c1, c0 = dishes.up(t2s[-1], t1s[-1])
                 root = all_.root(c0, t0s[-1])
                 one = all_.one(dishes.pair_code, c1, t1s[-1], root[dishes.pair_word])
-                t2 = sample_tables(dishes.counts, (CONCENTRATION[2] + all_.d[2] * all_.t2[dishes.codes]) * one[dishes.pair], all_.d[2], draw)
+                t2 = sample_tables(dishes.counts, (all_.th[2] + all_.d[2] * all_.t2[dishes.codes]) * one[dishes.pair], all_.d[2], draw)
                 c1 = dishes.up(t2, t1s[-1])[0]
-                t1 = sample_tables(c1, (CONCENTRATION[1] + all_.d[1] * all_.t1[dishes.pair_code]) * root[dishes.pair_word], all_.d[1], draw)
+                t1 = sample_tables(c1, (all_.th[1] + all_.d[1] * all_.t1[dishes.pair_code]) * root[dishes.pair_word], all_.d[1], draw)
                 c0 = dishes.up(t2, t1)[1]
-                t0 = sample_tables(c0, np.full(len(c0), (CONCENTRATION[0] + all_.d[0] * all_.t0) / (all_.v + 1)), all_.d[0], draw)
+                t0 = sample_tables(c0, np.full(len(c0), (all_.th[0] + all_.d[0] * all_.t0) / (all_.v + 1)), all_.d[0], draw)
                 kept = [(x if add else x[:-1]) + [y] for x, y in ((t2s, t2), (t1s, t1), (t0s, t0))]
                 yield _batch([_state(r["bucket"], (r["words"], r["runs"], r["codes"], r["counts"]), dishes, *kept)], _STATE)
 
@@ -342,14 +370,14 @@ def predict(dishes: Dishes, t2s: list, t1s: list, t0s: list, samples: list[Total
     known = (at < n) & (dishes.words[np.minimum(at, n - 1)] == w) if n else np.zeros(len(w), bool)
     at = np.where(known, at, 0)
     find = lambda keys, key: (k := np.minimum(np.searchsorted(keys, key), len(keys) - 1), known & (keys[k] == key)) if len(keys) else (np.zeros(len(key), int), np.zeros(len(key), bool))
-    pair, has_pair = find(dishes.pair_word.astype(np.int64) << 9 | dishes.pair_code, at << 9 | code >> 8)
-    type_, has_type = find(dishes.word.astype(np.int64) << 17 | dishes.codes, at << 17 | code)
+    pair, has_pair = find(dishes.pair_word.astype(np.int64) << 9 | dishes.pair_code, at << 9 | code >> SLOT)
+    type_, has_type = find(dishes.word.astype(np.int64) << 21 | dishes.codes, at << 21 | code)
     take = lambda x, i, ok: np.where(ok, x[i], 0) if len(x) else np.zeros(len(i))
     mean = np.zeros(len(w))
     for t2, t1, t0, all_ in zip(t2s, t1s, t0s, samples, strict=True):
         c1, c0 = dishes.up(t2, t1)
         p = all_.root(take(c0, at, known), take(t0, at, known))
-        p = all_.one(code >> 8, take(c1, pair, has_pair), take(t1, pair, has_pair), p)
+        p = all_.one(code >> SLOT, take(c1, pair, has_pair), take(t1, pair, has_pair), p)
         p = all_.two(code, take(dishes.counts, type_, has_type), take(t2, type_, has_type), p)
         mean += p / len(samples)
     return mean, take(dishes.word_count, at, known).astype(np.int64)
@@ -458,8 +486,8 @@ def score(docs: DataFrame, states: DataFrame, samples: list[Totals], n: int, buc
     return dealt.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def language_model(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+def learn(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> tuple[DataFrame, list[Totals], int, int]:
+    """The kept seatings with their totals, the number of training tokens, and of buckets."""
     ship(docs.sparkSession)
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     states = seat(count(docs.where(trains()), buckets))
@@ -469,9 +497,15 @@ def language_model(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) ->
         new = sweep(states, now, k, add=k > burn)
         remove(docs.sparkSession, table_path(states)) if states.inputFiles() else None
         states = new
-        now, _ = totals(states, now.d)
+        now, _ = totals(states, now, k + 1)
         if k >= burn:
             kept.append(now)
+    return states, kept, n, buckets
+
+
+def language_model(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    states, kept, n, buckets = learn(docs, burn, samples)
     scored = score(docs, states, kept, n, buckets)
     held = ~trains()
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

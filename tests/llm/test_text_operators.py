@@ -229,10 +229,86 @@ def test_language_model(spark):
     assert sum(got[k]["score"] for k in plain) > sum(got[k]["base_score"] for k in plain)
 
 
+def test_language_model_equals_brute_force(spark):
+    """Scores from the kept seatings by plain dictionaries, and seatings that a plain sampler of single customers agrees with."""
+    draw = random.Random(4)
+    chain = {f"v{k}": [f"v{draw.randrange(30)}" for _ in range(3)] for k in range(30)}
+    texts = odd_texts()
+    for _ in range(150):
+        w = ["v0"]
+        while len(w) < draw.randrange(2, 40):
+            w.append(draw.choice(chain[w[-1]]))
+        texts.append(" ".join(w))
+    docs = documents(spark, texts)
+    states, kept, n, buckets = hpylm.learn(docs)
+    got = {r["doc_id"]: r for r in hpylm.score(docs, states, kept, n, buckets).collect()}
+    seen = []  # of each seating: customers and tables of (word, context), (word, class), word
+    rows = [hpylm._open(r.asDict()) for r in states.collect()]
+    for k in range(len(kept)):
+        two, one, root = {}, {}, {}
+        for dishes, t2, t1, t0 in rows:
+            for i, w in enumerate(dishes.word):
+                two[int(dishes.words[w]), int(dishes.codes[i])] = (int(dishes.counts[i]), int(t2[k][i]))
+            for i, w in enumerate(dishes.pair_word):
+                one[int(dishes.words[w]), int(dishes.pair_code[i])] = int(t1[k][i])
+            for i, w in enumerate(dishes.words):
+                root[int(w)] = int(t0[k][i])
+        seen.append((two, one, root))
+    known = Counter()
+    for (w, _), (c, _) in seen[0][0].items():
+        known[w] += c
+    assert sum(known.values()) == n == sum(len(words_of(t)) + 1 for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1)
+
+    def probability(w, code):
+        total = 0.0
+        for (two, one, root), all_ in zip(seen, kept, strict=True):
+            of = lambda table, i, key: sum(v for k, v in table.items() if k[i] == key)  # noqa: E731, B023
+            cls = code >> hpylm.SLOT
+            c1 = {k: 0 for k in one}
+            for (x, ctx), (_, t) in two.items():
+                c1[x, ctx >> hpylm.SLOT] += t
+            c0 = {x: sum(t for (y, _), t in one.items() if y == x) for x in root} if w in root else {}
+            c0_all, t0_all = sum(one.values()), sum(root.values())
+            (d0, d1, d2), (h0, h1, h2) = all_.d, all_.th
+            p = (c0.get(w, 0) - d0 * root.get(w, 0) + (h0 + d0 * t0_all) / (len(root) + 1)) / (h0 + c0_all)
+            p = (c1.get((w, cls), 0) - d1 * one.get((w, cls), 0) + (h1 + d1 * of(one, 1, cls)) * p) / (h1 + of(c1, 1, cls))
+            c2 = sum(c for (_, x), (c, _) in two.items() if x == code)
+            t2 = sum(t for (_, x), (_, t) in two.items() if x == code)
+            c, t = two.get((w, code), (0, 0))
+            total += (c - d2 * t + (h2 + d2 * t2) * p) / (h2 + c2)
+        return total / len(kept)
+
+    memo = {}
+    for k, t in enumerate(texts):
+        w, code, _ = hpylm.tokens(pa.array([t], pa.string()))
+        pairs = list(zip(w.tolist(), code.tolist(), strict=True))
+        for pair in pairs:
+            if pair not in memo:
+                memo[pair] = math.log10(probability(*pair))
+        assert got[k]["score"] == pytest.approx(sum(memo[p] for p in pairs), rel=1e-5, abs=1e-5), k
+    # word contexts: what follows is known far better than by words alone
+    held = [k for k in got if k > 10 and zlib.crc32(str(k).encode()) % 5 == 1]
+    assert sum(got[k]["score"] for k in held) > 0.8 * sum(got[k]["base_score"] for k in held)
+
+
+def test_concentrations_follow_their_distribution():
+    assert np.allclose(hpylm.log_gamma(np.array([0.1, 1.0, 3.5, 90.0, 1e7])), [math.lgamma(x) for x in (0.1, 1.0, 3.5, 90.0, 1e7)])
+    # restaurants that are seated customer by customer
+    draw, d, want = random.Random(1), 0.5, 20.0
+    all_ = hpylm.Totals((d, d, d), 10)
+    for u in range(300):
+        tables = 0
+        for c in range(60):
+            tables += draw.random() < (want + d * tables) / (want + c)
+        all_.c2[u], all_.t2[u] = 60, tables
+    got = [all_.concentrations(np.random.default_rng(k))[2] for k in range(40)]
+    assert np.mean(got) == pytest.approx(want, rel=0.15)
+
+
 def test_language_model_sums_to_one():
     w = np.sort(wordbytes.mix(np.arange(1, 30, dtype=np.uint64)))
     draw = np.random.default_rng(1)
-    pick, code = draw.integers(0, 29, 400), draw.choice([97 << 8, 97 << 8 | 5, 98 << 8], 400).astype(np.int32)
+    pick, code = draw.integers(0, 29, 400), draw.choice([3 << hpylm.SLOT, 3 << hpylm.SLOT | 5, 4 << hpylm.SLOT], 400).astype(np.int32)
     words, codes, counts = hpylm._types(w[pick], code)
     u, runs = hpylm._runs(words)
     dishes = hpylm.Dishes(u, runs, codes, counts)
@@ -241,9 +317,9 @@ def test_language_model_sums_to_one():
     for k in range(4):
         c1, c0 = dishes.up(t2, t1)
         all_.c2, all_.t2 = np.bincount(codes, counts, hpylm.START + 1), np.bincount(codes, t2, hpylm.START + 1)
-        all_.c1, all_.t1 = np.bincount(dishes.pair_code, c1, 257), np.bincount(dishes.pair_code, t1, 257)
+        all_.c1, all_.t1 = np.bincount(dishes.pair_code, c1, hpylm.CLASSES), np.bincount(dishes.pair_code, t1, hpylm.CLASSES)
         all_.c0, all_.t0 = c0.sum(), t0.sum()
-        for context in (97 << 8, 98 << 8, 99 << 8):
+        for context in (3 << hpylm.SLOT, 4 << hpylm.SLOT, 9 << hpylm.SLOT):
             ask = np.append(u, np.uint64(12345))
             p, c = hpylm.predict(dishes, [t2], [t1], [t0], [all_], ask, np.full(len(ask), context))
             assert p.sum() == pytest.approx(1) and c[-1] == 0
