@@ -2,24 +2,32 @@
 
 A text is cut into tokens; a segment is an entity of 1 to LONGEST tokens or a single other token. Whole segments
 are scored by features of their full extent (shape, length, digits, first and last token, words before), and
-bounded-entity dynamic programming finds the best segmentation: boundaries and types are chosen together.
-An entity segment must start and end with a token that could belong to one (digits, @, +, a cue such as "at" or
-"dot" in brackets); a token that could not is always alone, so the program decomposes exactly and only runs of
-tokens around such places are decoded.
-
-The field is trained by averaged perceptron steps in numpy on at most MAX_TRAIN documents (by hash of the id)
-with digits or an @, of which base matches are the labels, and on written-out variants of them (spaces in cards, "[at]" and "[dot]" in
-addresses, phones without plus), so that it finds forms that the patterns miss. Spans that it adds never overlap
-base spans, and base spans all stay.
-
-Null texts are empty; empty texts have no spans. Each row gives one row. Texts are read whole.
+bounded-entity dynamic programming finds the best segmentation: boundaries and types are chosen together. The
+score of a segmentation is the sum of its segments', and its probability the share of exp(score) in that of all
+segmentations, which the forward recursion sums.
+
+An entity must start and end with a token that could belong to one and hold either an address sign (@, or "at" in
+brackets) or four digits without letters; a token that could not is always alone. So every entity lies in a window around
+such a place, which reaches LONGEST tokens to either side of a sign and to the end of what is neither letter nor
+digit around digits, and the program decomposes exactly: only windows are decoded.
+
+The field is trained by the gradient of the conditional log likelihood (forward-backward over segments, Adagrad in numpy)
+on the windows of at most MAX_TRAIN documents of up to TRAIN_BYTES bytes (by hash of the id) with digits or an @, at
+most MAX_CASES windows. Base matches are the labels there, and written-out variants of them (spaces in cards, "[at]" and
+"[dot]" in addresses, phones without plus), so that it finds forms that the patterns miss. Spans that it adds never
+overlap base spans, and base spans all stay.
+
+Null texts are empty; empty texts have no spans. Rows without a doc_id are scanned but not learned from; an empty table
+gives an empty result; extra columns take no part. Each row gives one row. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +48,10 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 
 #: At most so many documents are learned from.
 MAX_TRAIN = 2000
+#: Of those only texts up to so many bytes, and at most so many windows.
+TRAIN_BYTES, MAX_CASES = 1 << 16, 20_000
 LONGEST = 20
-EPOCHS = 4
+EPOCHS, BATCH, RATE, DECAY = 8, 16, 0.3, 1e-4
 #: An added span needs so much more than the best reading without it.
 MARGIN = 0.0
 
@@ -88,41 +98,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
-#: Where an entity could be: digits, @, a plus before a digit, or a bracketed "at".
-_SEED = re.compile(r"[0-9]{2,}|@|\+[0-9]|[\[({]\x20?at\x20?[\])}]", re.IGNORECASE)
-_REACH = 48
+#: Where an entity could be: an address sign, or four digits with nothing but punctuation and blanks between.
+_SIGN = re.compile(r"@|[\[({]\x20?at\x20?[\])}]", re.IGNORECASE)
+_DIGITS = re.compile(r"[0-9](?:[@.+()\[\]{}%_:/\s-]*[0-9]){3,}")
+_BETWEEN = frozenset("0123456789@.+()[]{}%_:/-")
+_AHEAD = re.compile(r"(?:(?:[0-9]+|[^\W\d_]+|\S)\s*){0,20}")
 _CUES = frozenset(("at", "dot", "tel", "phone", "call", "card", "ip", "mail", "email", "fax"))
 _PUNCT = frozenset("@.+-()[]{}%_:/")
 
 
+def _back(text: str, at: int, count: int) -> int:
+    """Where the count-th token before a place starts."""
+    reach = 8 * count
+    while True:
+        lo = max(0, at - reach)
+        found = [m.start() for m in _TOKEN.finditer(text, lo, at)]
+        if lo == 0 or len(found) > count:  # the first one may be cut
+            return found[-count] if len(found) >= count else 0
+        reach *= 2
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Pieces of the text around seeds, cut at white space; pieces that touch are one."""
-    out: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    fixed = []
-    for a, b in out:
-        while a > 0 and not text[a - 1].isspace():
+    """Pieces of the text that hold every possible entity and the token before it; pieces that touch are one."""
+    out = []
+    for m in _SIGN.finditer(text) if "@" in text or "at" in text or "AT" in text or "At" in text or "aT" in text else ():
+        out.append((_back(text, m.start(), LONGEST + 1), _AHEAD.match(text, m.start()).end()))
+    for m in _DIGITS.finditer(text):
+        a, b = m.span()
+        while a > 0 and (text[a - 1] in _BETWEEN or text[a - 1].isspace()):
             a -= 1
-        while b < len(text) and not text[b].isspace():
+        while b < len(text) and (text[b] in _BETWEEN or text[b].isspace()):
             b += 1
+        out.append((_back(text, a, 1), b))
+    fixed: list[tuple[int, int]] = []
+    for a, b in sorted(out):
         if fixed and a <= fixed[-1][1]:
-            fixed[-1] = (fixed[-1][0], b)
+            fixed[-1] = (fixed[-1][0], max(b, fixed[-1][1]))
         else:
             fixed.append((a, b))
     return fixed
 
 
 def _able(token: str) -> bool:
-    return token[0].isdigit() or token in _PUNCT or token.lower() in _CUES or token.isascii() and token.isalpha()
+    return token[0] in "0123456789" or token in _PUNCT or token.lower() in _CUES or token.isascii() and token.isalpha()
 
 
 def _edge(token: str) -> bool:
-    return token[0].isdigit() or token == "+" or token == "(" or token.isascii() and token.isalpha()
+    return token[0] in "0123456789" or token == "+" or token == "(" or token.isascii() and token.isalpha()
+
+
+def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Token ranges that may be entities, by end and then start."""
+    words = [text[a:b] for a, b in tokens]
+    able, edge = [_able(w) for w in words], [_edge(w) for w in words]
+    digits, signs, letters = [0], [0], [0]
+    for k, w in enumerate(words):
+        digits.append(digits[-1] + (len(w) if w[0] in "0123456789" else 0))
+        signs.append(signs[-1] + (w == "@" or w.lower() == "at" and k > 0 and words[k - 1] in "[({"))
+        letters.append(letters[-1] + w[0].isalpha())
+    out, last = [], -1  # the last token that can be in no entity
+    for j in range(1, len(words) + 1):
+        if not able[j - 1]:
+            last = j - 1
+        elif edge[j - 1]:
+            for i in range(max(last + 1, j - LONGEST), j):
+                if edge[i] and (signs[j] > signs[i] or digits[j] - digits[i] >= 4 and letters[j] == letters[i]):
+                    out.append((i, j))
+    return out
 
 
 def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
@@ -146,8 +188,27 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     return out
 
 
+def forward(n: int, spans: list[tuple[int, int]], score: list[float]) -> list[float]:
+    """Logarithms of the sums over all segmentations of the first 0 to n tokens; spans by end, each with its log weight."""
+    alpha, at = [0.0] * (n + 1), 0
+    for j in range(1, n + 1):
+        terms = [alpha[j - 1]]
+        while at < len(spans) and spans[at][1] == j:
+            terms.append(alpha[spans[at][0]] + score[at])
+            at += 1
+        top = max(terms)
+        alpha[j] = terms[0] if len(terms) == 1 else top + math.log(sum(math.exp(x - top) for x in terms))
+    return alpha
+
+
+def backward(n: int, spans: list[tuple[int, int]], score: list[float]) -> list[float]:
+    """The same of the tokens from each place on."""
+    turned = sorted(((n - j, n - i, k) for k, (i, j) in enumerate(spans)), key=lambda s: (s[1], s[0]))
+    return forward(n, [(i, j) for i, j, _ in turned], [score[k] for *_, k in turned])[::-1]
+
+
 class Field:
-    """Weights of (kind, feature) and the decoder; kind len(KINDS) is a single other token, of score 0."""
+    """Weights of (kind, feature) and the decoder; a single other token has score 0."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
@@ -161,30 +222,17 @@ class Field:
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(kind, first token, end token) of the best segmentation's entities."""
-        n = len(tokens)
-        words = [text[a:b] for a, b in tokens]
-        able, edge = [_able(w) for w in words], [_edge(w) for w in words]
-        digit = [w[0].isdigit() for w in words]
-        sign = [w == "@" or w.lower() == "at" and k > 0 and words[k - 1] in "[({" for k, w in enumerate(words)]
-        alpha = np.concatenate(([0], np.cumsum([w[0].isalpha() for w in words])))
+        n, spans, at = len(tokens), candidates(text, tokens), 0
         best, back = [0.0] * (n + 1), [(-1, 0)] * (n + 1)
-        held = np.concatenate(([0], np.cumsum([len(w) if d else 0 for w, d in zip(words, digit, strict=True)])))
-        signs = np.concatenate(([0], np.cumsum(sign)))
-        last = -1  # the last token that can be in no entity
         for j in range(1, n + 1):
             best[j], back[j] = best[j - 1], (-1, j - 1)
-            if not able[j - 1]:
-                last = j - 1
-                continue
-            if not edge[j - 1]:
-                continue
-            for i in range(max(last + 1, j - LONGEST), j):
-                if not edge[i] or signs[j] == signs[i] and (held[j] - held[i] < 4 or alpha[j] > alpha[i]) or tokens[j - 1][1] - tokens[i][0] > 64:
-                    continue
+            while at < len(spans) and spans[at][1] == j:
+                i = spans[at][0]
                 s = self.scores(segment_features(text, tokens, i, j))
                 k = int(s.argmax())
                 if s[k] > MARGIN and best[i] + s[k] > best[j]:
                     best[j], back[j] = best[i] + float(s[k]), (k, i)
+                at += 1
         out, j = [], n
         while j:
             k, i = back[j]
@@ -232,31 +280,59 @@ def variants(text: str, spans: list[tuple[int, int, int]], draw: random.Random)
     return "".join([*out, text[at:]]), found
 
 
-def train(texts: list[str], seed: int = 5) -> Field:
-    """Averaged structured perceptron on segmentations; the base matches and their variants are the truth."""
-    draw, cases = random.Random(seed), []
+class Case:
+    """A window to learn from: its candidates with their features, and which of them are entities of which kind."""
+
+    __slots__ = ("n", "spans", "owner", "feature", "gold")
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]], gold: list[tuple[int, int, int]], index: dict[str, int]):
+        self.n, self.spans = len(tokens), candidates(text, tokens)
+        features = [[index.setdefault(f, len(index)) for f in segment_features(text, tokens, i, j)] for i, j in self.spans]
+        self.owner = np.repeat(np.arange(len(features)), [len(f) for f in features]).astype(np.int32)
+        self.feature = np.array([f for fs in features for f in fs], np.int32)
+        self.gold = np.zeros((len(self.spans), len(KINDS)), np.float32)
+        place = {s: k for k, s in enumerate(self.spans)}
+        for k, i, j in gold:
+            if (i, j) in place:
+                self.gold[place[i, j], k] = 1
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.owner, weights=weights[self.feature, k], minlength=len(self.spans)) for k in range(len(KINDS))], axis=1)
+
+    def likelihood(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log probability of the entities, and each candidate's probability to be an entity of each kind."""
+        s = self.scores(weights)
+        top = s.max(axis=1, initial=-np.inf, keepdims=True)
+        whole = (top + np.log(np.exp(s - top).sum(axis=1, keepdims=True)))[:, 0]
+        alpha, beta = (f(self.n, self.spans, whole.tolist()) for f in (forward, backward))
+        i, j = (np.array([x[k] for x in self.spans], int) for k in (0, 1))
+        inside = np.array(alpha)[i] + whole + np.array(beta)[j] - alpha[-1]
+        return float((s * self.gold).sum() - alpha[-1]), np.exp(inside[:, None] + s - whole[:, None])
+
+
+def train(texts: Iterable[str], seed: int = 5, max_cases: int = MAX_CASES) -> Field:
+    """Conditional log likelihood of segmentations, by Adagrad; the base matches and their variants are the truth. Texts are read one by one."""
+    draw, cases, index = random.Random(seed), [], {}
     for text in texts:
         spans = base_spans(text)
         for t, s in ((text, spans), variants(text, spans, draw)):
             for a, b in windows(t):
                 tokens = tokenise(t, a, b)
-                if 0 < len(tokens) <= 400:
-                    cases.append((t, tokens, _gold(tokens, [x for x in s if a <= x[1] and x[2] <= b])))
-    weights: dict[str, np.ndarray] = {}
-    sums: dict[str, np.ndarray] = {}
-    clock = 1
+                if tokens and len(cases) < max_cases:
+                    case = Case(t, tokens, _gold(tokens, [x for x in s if a <= x[1] and x[2] <= b]), index)
+                    cases.extend([case] if case.spans else [])
+    weights = np.zeros((len(index), len(KINDS)))
+    seen = np.full(weights.shape, 1e-8)
     for _ in range(EPOCHS):
         draw.shuffle(cases)
-        for t, tokens, gold in cases:
-            guess = Field(weights).decode(t, tokens)
-            if guess != gold:
-                for parts, sign in ((set(gold) - set(guess), 1.0), (set(guess) - set(gold), -1.0)):
-                    for k, i, j in parts:
-                        for f in segment_features(t, tokens, i, j):
-                            weights.setdefault(f, np.zeros(len(KINDS)))[k] += sign
-                            sums.setdefault(f, np.zeros(len(KINDS)))[k] += sign * clock
-            clock += 1
-    return Field({f: w - sums[f] / clock for f, w in weights.items()})
+        for lo in range(0, len(cases), BATCH):
+            some = cases[lo : lo + BATCH]
+            used, where = np.unique(np.concatenate([c.feature for c in some]), return_inverse=True)
+            gap = np.concatenate([(c.likelihood(weights)[1] - c.gold)[c.owner] for c in some])
+            g = np.stack([np.bincount(where, weights=gap[:, k], minlength=len(used)) for k in range(len(KINDS))], axis=1) + DECAY * weights[used]
+            seen[used] += g * g
+            weights[used] -= RATE * g / np.sqrt(seen[used])
+    return Field({f: weights[k] for f, k in index.items() if weights[k].any()})
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -275,11 +351,12 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
     """Train on at most max_train documents that hold digits or an @: with and without personal data."""
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike(r"[0-9]{2}|@"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[0-9]{2}|@"))
     # one document in sixteen may hold as much, at the least
     ids = by_hash(rows.select("doc_id"), max_train, docs.count() // 16, "doc_id").distinct()
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)
-    return train([r["text"] for r in rows.toLocalIterator()])
+    rows = docs.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)
+    return train(r["text"] for r in rows.toLocalIterator())
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:

@@ -33,6 +33,8 @@ DIM = 4
 GRAMS = (3, 4, 5)
 #: At most so many labelled rows are learned from, those with the smallest hash of doc_id.
 MAX_TRAIN = 8000
+#: Longer texts are not learned from, so that a sample's bytes are bounded too.
+TRAIN_BYTES = 1 << 16
 EPOCHS = 12
 BATCH = 64
 RATE = 0.3
@@ -167,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """Fit on at most max_train labelled rows outside the held-out quarter."""
     usable = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     chosen = by_hash(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), max_train, labels.count() // 2, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(max_train).select("text", "toxic").toArrow()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(max_train).select("text", "toxic").toArrow()
     model = fit(rows["text"], rows["toxic"].to_numpy())
     del rows
     trim()

@@ -369,6 +369,75 @@ def test_personal_base_spans():
     assert pii.base_spans("9" * 100_000 + ".1.1.1") == []
 
 
+def segmentations(n, spans):
+    """All ways to cut n tokens into candidates and single tokens."""
+    if n == 0:
+        yield ()
+        return
+    for rest in segmentations(n - 1, spans):
+        yield rest
+    for i, j in spans:
+        if j == n:
+            for rest in segmentations(i, spans):
+                yield (*rest, (i, j))
+
+
+def test_field_equals_enumeration():
+    """The partition function, the marginals and the decoder against all segmentations, and the gradient against differences."""
+    draw = random.Random(3)
+    t = "call (555) 010-0199 or a.b [at] c.org"
+    tokens = pii.tokenise(t, 0, len(t))
+    index = {}
+    case = pii.Case(t, tokens, [], index)
+    assert 5 < len(case.spans) < 60
+    weights = np.array([[draw.gauss(0, 1) for _ in pii.KINDS] for _ in index])
+    s = case.scores(weights)
+    place = {x: k for k, x in enumerate(case.spans)}
+    whole, mass, best = 0.0, np.zeros(s.shape), (0.0, ())
+    for cut in segmentations(len(tokens), case.spans):
+        each = [s[place[x]] for x in cut]
+        p = math.exp(sum(math.log(np.exp(x).sum()) for x in each))
+        whole += p
+        for x, row in zip(cut, each, strict=True):
+            mass[place[x]] += p * np.exp(row) / np.exp(row).sum()
+        if sum(x.max() for x in each) > best[0]:
+            best = (sum(x.max() for x in each), cut)
+    found, marginals = case.likelihood(weights)
+    assert found == pytest.approx(-math.log(whole)) and np.allclose(marginals, mass / whole)
+    field = pii.Field({f: weights[k] for f, k in index.items()})
+    assert [(i, j) for _, i, j in field.decode(t, tokens)] == list(best[1])
+    assert [k for k, _, _ in field.decode(t, tokens)] == [int(s[place[x]].argmax()) for x in best[1]]
+    case.gold[place[best[1][0]], 2] = 1
+    for f, k in ((0, 2), (len(index) // 2, 0)):
+        step = np.zeros(weights.shape)
+        step[f, k] = 1e-5
+        slope = (case.likelihood(weights + step)[0] - case.likelihood(weights - step)[0]) / 2e-5
+        assert slope == pytest.approx(((case.gold - case.likelihood(weights)[1])[case.owner][case.feature == f, k]).sum(), abs=1e-5)
+
+
+def test_windows_hold_every_candidate():
+    draw = random.Random(5)
+    bits = [*"ab.%+-@@..12 ()5é_", "4111 1111", "[at]", "(AT)", " dot ", "wörd ", "mary ", "\n", "x" * 90]
+    for _ in range(400):
+        t = "".join(draw.choice(bits) for _ in range(draw.randrange(80)))
+        every = pii.tokenise(t, 0, len(t))
+        want = {(every[i][0], every[j - 1][1]) for i, j in pii.candidates(t, every)}
+        got = set()
+        for a, b in pii.windows(t):
+            tokens = pii.tokenise(t, a, b)
+            got |= {(tokens[i][0], tokens[j - 1][1]) for i, j in pii.candidates(t, tokens)}
+        assert got == want, t
+
+
+def test_field_reads_long_entities():
+    local = ".".join("part" + chr(97 + k) * 12 for k in range(4))
+    texts = [f"write to user{k}.name@host{k % 7}.example.com or +1 555 010 {1000 + k} today" for k in range(150)]
+    field = pii.train(texts)
+    t = f"please write to {local} [at] mail [dot] example [dot] com today"
+    _, spans = pii.all_spans(t, field)
+    assert any(k == 0 and b - a > 64 for k, a, b in spans)
+
+
 def test_personal_data(spark):
     draw = random.Random(6)
     texts = odd_texts() + [f"{text(draw, 12)} {draw.choice(['joe.' + str(k) + '@mail.example.com', '+1 (555) 555-01' + str(10 + k % 90), '10.1.2.' + str(k), '4111 1111 1111 1111'])} {text(draw, 9)}" for k in range(200)]
