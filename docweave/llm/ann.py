@@ -4,18 +4,20 @@ Vectors get one more component that makes all norms equal, so that near vectors
 inner product; the graph works on byte-quantised vectors, each with its own scale, results on the original ones in
 double precision. The HEADS longest vectors are also compared with every query, as few links lead to them.
 
-The graph starts from cells: every row goes to its SPREAD nearest of at most MAX_PIVOTS pivots (a bounded sample), a
-cell of more than CELL rows is dealt into blocks by hash, and each block gives its rows their nearest within. Then
-NN-descent: every node joins its neighbours and (at most JOIN of) those whose neighbour it is, each pair of them with
-a new link is compared, and the better candidates go back to their nodes. Rounds end when few links change. In-degrees
-are cut only for comparing, as the method has it; every row is indexed, and no block is larger than CELL rows.
+The graph starts rough: every row goes to its SPREAD nearest of at most MAX_PIVOTS pivots (a bounded sample, one for about
+PIVOT_ROWS rows), a cell of more than CELL rows is dealt into blocks by hash, and each block gives its rows their nearest
+within. What makes it good is NN-descent: every node joins JOIN of its neighbours and of those whose neighbour it is, new
+links before old ones, each pair of them with a new link is compared, and the better candidates (at most SEND a node
+and join) go back to their nodes. A link is new until it was joined once. Rounds end when fewer than CHANGE of the
+links are new. In-degrees are cut only for comparing, as the method has it; every row is indexed.
 
-A search starts at the query's own node and repeatedly opens the best unopened nodes of its beam, all queries at once:
-a join of opened nodes with the adjacency table, which is bucketed by node and so never moves again.
+A search starts at the query's own node and repeatedly opens the best unopened nodes of its beam, all queries at once, until
+every query has opened the FRONT best that it knows: a join of opened nodes with the adjacency table, which is bucketed
+by node and so never moves again.
 
 Null, zero and non-finite vectors take no part; of rows that share a vec_id the greatest vector counts; shorter vectors
-count as filled with zeros. With at most CELL rows all others are compared, so fewer than k others give fewer
-results. Ties go to the smaller vec_id. Without queries or rows the result is empty.
+count as filled with zeros. Fewer than k others give fewer results. Ties go to the smaller vec_id. Without queries or
+rows the result is empty. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +33,14 @@ from .runtime import by_hash, keep, new_folder, remove, ship, shuffle_partitions
 from .vectors import best, lists, matrix, packed_rows, unpacked, usable, whole_groups
 
 NEIGHBOURS = 32
-JOIN = 24
-PIVOT_ROWS = 3500
+JOIN, SEND = 24, 24
+PIVOT_ROWS = 256
 MAX_PIVOTS = 4096
-SPREAD = 8
-CELL = 4096
-ROUNDS = 2
+SPREAD = 3
+CELL = 512
 #: Share of links that must change for another round of descent.
 CHANGE = 0.02
-BEAM, OPEN, SEARCH = 128, 32, 4
+BEAM, OPEN, FRONT = 256, 128, 224
 _ROWS = 512
 #: Longest vectors that every query is compared with.
 HEADS = 256
@@ -100,7 +101,7 @@ def _scores(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _merged(rows: DataFrame, most: int) -> DataFrame:
-    """(u, v, s, fresh) of lists per node from rows of lists for the same nodes: the best most of each. A link that was there before is not fresh."""
+    """(u, v, s, fresh) of lists per node from rows of lists for the same nodes: the best most of each. A link that is old in any row is not fresh."""
     schema = "u long, v array<long>, s array<float>, fresh array<boolean>"
 
     def part(batches):
@@ -108,7 +109,7 @@ def _merged(rows: DataFrame, most: int) -> DataFrame:
             v, s, old = (table[c].combine_chunks() for c in ("v", "s", "old"))
             v, s, old = ((c.chunk(0) if isinstance(c, pa.ChunkedArray) else c) for c in (v, s, old))
             owner = np.repeat(table["u"].to_numpy(), np.diff(v.offsets.to_numpy()))
-            extra = np.repeat(old.to_numpy(zero_copy_only=False).astype(np.int8), np.diff(v.offsets.to_numpy()))
+            extra = old.flatten().to_numpy(zero_copy_only=False).astype(np.int8)
             owner, v, s, extra = best(owner, v.flatten().to_numpy(), s.flatten().to_numpy(), most, extra)
             nodes, count = np.unique(owner, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), lists(count, pa.array(v)), lists(count, pa.array(s.astype(np.float32))), lists(count, pa.array(extra == 0))], names=["u", "v", "s", "fresh"])
@@ -133,8 +134,7 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
     """First lists (u, v, s, fresh) from cells."""
     spark = vectors.sparkSession
     rows = vectors.count()
-    # up to CELL rows are one cell and need no pivot
-    pivots = max(1, min(MAX_PIVOTS, rows * SPREAD // PIVOT_ROWS)) if rows > CELL else 0
+    pivots = min(MAX_PIVOTS, rows // PIVOT_ROWS)
     if pivots:
         chosen = by_hash(vectors.select("vec_id", "x"), pivots, rows, "vec_id").toArrow()
         shared = spark.sparkContext.broadcast(_rows_of(chosen["x"], width))
@@ -143,9 +143,11 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
         centre = shared.value
         spread = min(SPREAD, len(centre[1]))
         for batch in batches:
-            near = _scores(_rows_of(batch.column(1), width), centre)
-            near = np.argpartition(-near, spread - 1, axis=1)[:, :spread].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.full(len(near), spread), pa.array(near.reshape(-1))), batch.column(1)], names=["vec_id", "cells", "x"])
+            for lo in range(0, batch.num_rows, 2048):
+                piece = batch.slice(lo, 2048)
+                near = _scores(_rows_of(piece.column(1), width), centre)
+                near = np.argpartition(-near, spread - 1, axis=1)[:, :spread].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists(np.full(len(near), spread), pa.array(near.reshape(-1))), piece.column(1)], names=["vec_id", "cells", "x"])
 
     rows_x = vectors.select("vec_id", "x")
     if pivots:
@@ -169,27 +171,38 @@ def start(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS) -> DataF
                 if b - a < 2:
                     continue
                 count, v, s = _nearest(ids[a:b], _rows_of(data.slice(a, b - a), width), neighbours)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), lists(count, pa.array(v)), lists(count, pa.array(s)), pa.array(np.zeros(b - a, bool))], names=["u", "v", "s", "old"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), lists(count, pa.array(v)), lists(count, pa.array(s)), lists(count, pa.array(np.zeros(len(v), bool)))], names=["u", "v", "s", "old"])
 
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(near, "u long, v array<long>, s array<float>, old boolean")
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(near, "u long, v array<long>, s array<float>, old array<boolean>")
     return keep(_merged(found, neighbours), "graph")
 
 
 def _sides(graph: DataFrame, most: int) -> DataFrame:
-    """(centre, member, fresh): each node's first most neighbours, and at most most of the nodes whose neighbour it is."""
-    out = graph.select(F.col("u").alias("centre"), F.explode(F.arrays_zip(F.slice("v", 1, most).alias("member"), F.slice("fresh", 1, most).alias("fresh"))).alias("z")).select("centre", "z.member", "z.fresh")
+    """(centre, member, fresh): most of each node's neighbours, and at most most of the nodes whose neighbour it is; fresh links first."""
+    links = F.arrays_zip(F.col("v").alias("member"), F.col("fresh").alias("fresh"))
+    some = F.slice(F.concat(F.filter(links, lambda z: z["fresh"]), F.filter(links, lambda z: ~z["fresh"])), 1, most)
+    out = graph.select(F.col("u").alias("centre"), F.explode(some).alias("z")).select("centre", "z.member", "z.fresh")
     back = out.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "fresh")
-    order = Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre"))
+    order = Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64("member", "centre"))
     back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
     return out.unionByName(back)
 
 
+def _old(most: int):
+    """Of a node's links, which were fresh for the last time: all but the fresh ones beyond the first most of them."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("old"))
+
+    def step(acc, fresh):
+        n = acc["n"] + fresh.cast("int")
+        return F.struct(n.alias("n"), F.concat(acc["old"], F.array(~fresh | (n <= most))).alias("old"))
+
+    return F.aggregate("fresh", start, step, lambda acc: acc["old"])
+
+
 def descend(graph: DataFrame, vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS, join: int = JOIN) -> DataFrame:
     """One round: compare neighbours of neighbours, keep the best of each node."""
     member = vectors.join(graph.select(F.col("u").alias("vec_id"), F.element_at("s", -1).alias("kth")), "vec_id").select(F.col("vec_id").alias("member"), "x", "kth")
     rows = _sides(graph, join).join(member, "member").select("centre", "member", "fresh", "kth", "x").repartition("centre").sortWithinPartitions("centre")
-    send = 8
-
     def part(batches):
         for table in whole_groups(batches):
             centre, ids = table["centre"].to_numpy(), table["member"].to_numpy()
@@ -201,23 +214,25 @@ def descend(graph: DataFrame, vectors: DataFrame, width: int, neighbours: int =
                 s = _scores((x[a:b], fill[a:b]), (x[a:b], fill[a:b]))
                 good = (s > kth[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]) & (ids[a:b, None] != ids[None, a:b])
                 s = np.where(good, s, -np.inf)
-                k = min(send, b - a)
+                k = min(SEND, b - a)
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 s = np.take_along_axis(s, top, axis=1)
                 i, j = np.nonzero(s > -np.inf)
                 owner.append(ids[a:b][i]), other.append(ids[a:b][top[i, j]]), score.append(s[i, j])
             owner, other, score, _ = best(np.concatenate(owner), np.concatenate(other), np.concatenate(score), neighbours)
             nodes, count = np.unique(owner, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), lists(count, pa.array(other)), lists(count, pa.array(score.astype(np.float32))), pa.array(np.zeros(len(nodes), bool))], names=["u", "v", "s", "old"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), lists(count, pa.array(other)), lists(count, pa.array(score.astype(np.float32))), lists(count, pa.array(np.zeros(len(other), bool)))], names=["u", "v", "s", "old"])
 
-    found = rows.mapInArrow(part, "u long, v array<long>, s array<float>, old boolean")
-    old = graph.select("u", "v", "s", F.lit(True).alias("old"))
+    found = rows.mapInArrow(part, "u long, v array<long>, s array<float>, old array<boolean>")
+    old = graph.select("u", "v", "s", _old(join).alias("old"))
     return keep(_merged(found.unionByName(old), neighbours), "graph")
 
 
-def neighbour_graph(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    graph = start(vectors, width, neighbours)
-    for _ in range(rounds):
+def neighbour_graph(vectors: DataFrame, width: int, neighbours: int = NEIGHBOURS, rounds: int | None = None) -> DataFrame:
+    """The graph, by descent until few links change; rounds: no more than so many."""
+    graph, done = start(vectors, width, neighbours), 0
+    while rounds is None or done < rounds:
+        done += 1
         new = descend(graph, vectors, width, neighbours)
         remove(graph.sparkSession, table_path(graph)) if graph.inputFiles() else None
         graph = new
@@ -289,8 +304,11 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
             owner, other = np.repeat(q, top.shape[1]), ids[top].reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(owner[owner != other]), pa.array(other[owner != other])], names=["query_id", "vec_id"])
 
-    for step in range(SEARCH):
-        waits = F.slice(F.filter(F.arrays_zip("v", "opened"), lambda z: ~z["opened"]), 1, OPEN)
+    step = 0
+    while True:
+        waits = F.slice(F.filter(F.slice(F.arrays_zip("v", "opened"), 1, FRONT), lambda z: ~z["opened"]), 1, OPEN)
+        if beam.where(F.size(waits) > 0).isEmpty():
+            break
         todo = beam.select("q", "x", F.when(F.size("s") >= BEAM, F.element_at("s", -1)).otherwise(F.lit(float("-inf")).cast("float")).alias("floor"), F.transform(waits, lambda z: z["v"]).alias("go"))
         go = todo.select("q", "x", "floor", F.explode("go").alias("u"))
         met = go.hint("shuffle_hash").join(near, "u").select("q", "x", "floor", "v", "near").mapInArrow(opened, "q long, v array<long>, s array<float>")
@@ -302,7 +320,7 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
         merged = now.unionByName(met).repartition("q").sortWithinPartitions("q").mapInArrow(merge, "q long, v array<long>, s array<float>, opened array<boolean>")
         new = keep(merged.join(queries, "q").select("q", "x", "v", "s", "opened"), "beam")
         remove(spark, table_path(beam)) if beam.inputFiles() else None
-        beam = new
+        beam, step = new, step + 1
     pairs = beam.select(F.col("q").alias("query_id"), F.explode(F.slice("v", 1, 3 * k)).alias("vec_id"))
     long = vectors.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "e").mapInArrow(headed, "query_id long, vec_id long")
     pairs = pairs.unionByName(long).distinct()
@@ -316,8 +334,8 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
     return out
 
 
-def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def nearest(table: DataFrame, every: int = 20, k: int = 20, rounds: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score for the rows whose vec_id is divisible by every, against all others."""
     vectors, width = quantise(table)
-    graph = neighbour_graph(vectors, width)
+    graph = neighbour_graph(vectors, width, rounds=rounds)
     return search(graph, vectors, width, vectors.where(F.col("vec_id") % every == 0), k)

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import ann, mixing, vafile, warc
@@ -103,6 +104,30 @@ def test_nearest_neighbours_descend(spark, monkeypatch):
     assert sum(w[2] in got[w[0]] for w in want) / len(want) >= 0.9
 
 
+def test_nearest_neighbours_need_descent(spark):
+    """10,000 vectors of hardly any structure, production parameters: descent makes the graph, and search finds nine in ten through it."""
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(10_000, 48)) + 0.5 * draw.normal(size=(20, 48))[draw.integers(0, 20, 10_000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "cell": ["x"] * len(x)})).select("vec_id", "embedding", "cell")
+    asked = np.arange(0, len(x), 20)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    vectors, width = ann.quantise(table)
+
+    def recall(graph):
+        lists = {r["u"]: set(r["v"]) for r in graph.where("u % 20 = 0").collect()}
+        return np.mean([len(lists.get(int(q), set()) & set(w.tolist())) / 20 for q, w in zip(asked, want, strict=True)])
+
+    rough, done = ann.start(vectors, width), ann.neighbour_graph(vectors, width)
+    assert recall(rough) < 0.5 * recall(done)
+    found = {}
+    for r in ann.search(done, vectors, width, vectors.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(found[int(q)] & set(w.tolist())) / 20 for q, w in zip(asked, want, strict=True)]) >= 0.9
+
+
 def test_nearest_neighbours_where_no_hash_is_small(spark):
     draw = np.random.default_rng(4)
     rows = [(1022000 + k, [float(v) for v in draw.normal(size=8)], 1) for k in range(500)]
