@@ -179,6 +179,16 @@ class Totals:
         self.c2, self.t2 = np.zeros(START + 1, np.int64), np.zeros(START + 1, np.int64)
         self.c1, self.t1 = np.zeros(CLASSES), np.zeros(CLASSES)
         self.c0 = self.t0 = 0.0
+        self.held: bytes | None = None
+
+    def __getstate__(self) -> dict:
+        """Packed for the way: most restaurants of a small corpus are empty, and all seatings share one packed c2."""
+        self.held = self.held or _pack(self.c2)
+        return {**self.__dict__, "c2": None, "t2": _pack(self.t2)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self.c2, self.t2 = _unpack(self.held, np.int64), _unpack(state["t2"], np.int64)
 
     def root(self, c, t):
         return (c - self.d[0] * t + (self.th[0] + self.d[0] * self.t0) / (self.v + 1)) / (self.th[0] + self.c0)
@@ -319,7 +329,8 @@ def totals(states: DataFrame, before: Totals | None = None, seed: int = 0) -> tu
         x[:] = dense[base : base + len(x)]
     out.c0, out.t0 = float(dense[_C0]), float(dense[_T0])
     if before is not None:
-        out.c2 = before.c2  # one array for all seatings: customers of the lowest level never change
+        before.held = before.held or _pack(before.c2)
+        out.c2, out.held = before.c2, before.held  # one array for all seatings: customers of the lowest level never change
     out.th = out.concentrations(np.random.default_rng([seed, 1]))
     return out, int(n or 0)
 
@@ -360,7 +371,9 @@ def sweep(states: DataFrame, now: Totals, number: int, add: bool) -> DataFrame:
                 kept = [(x if add else x[:-1]) + [y] for x, y in ((t2s, t2), (t1s, t1), (t0s, t0))]
                 yield _batch([_state(r["bucket"], (r["words"], r["runs"], r["codes"], r["counts"]), dishes, *kept)], _STATE)
 
-    return keep(states.mapInArrow(part, _STATE), "seating")
+    new = keep(states.mapInArrow(part, _STATE), "seating")
+    shared.destroy()  # what it was needed for is stored
+    return new
 
 
 def predict(dishes: Dishes, t2s: list, t1s: list, t0s: list, samples: list[Totals], w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,6 +416,7 @@ def head(states: DataFrame, samples: list[Totals], most: int = HEAD) -> tuple[np
                 yield pa.RecordBatch.from_arrays([pa.array(_key(w, code).view(np.int64)), pa.array(np.log10(p)), pa.array(c)], names=["key", "p", "c"])
 
     rows = states.mapInArrow(part, "key long, p double, c long").toArrow()  # most rows at most
+    shared.destroy()
     key = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], rows["p"].to_numpy()[order], rows["c"].to_numpy()[order]
