@@ -49,6 +49,18 @@ class PyprojectDependencies:
                 yield name, spec if isinstance(spec, str) else str(spec.get("version", "latest")) if isinstance(spec, dict) else "latest"
 
 
+def package_json_names(files: DataFrame, text: str = "text") -> DataFrame:
+    """files' rows with the name of each dependency, of both kinds, one after another: names alone, nothing is put together."""
+    keys = lambda c: F.coalesce(F.map_keys(F.from_json(F.get_json_object(text, f"$.{c}"), "map<string,string>")), F.array().cast("array<string>"))
+    return files.withColumn("_n", F.concat(keys("dependencies"), keys("devDependencies"))).select(*files.columns, F.posexplode("_n").alias("ord", "name"))
+
+
+def pyproject_names(files: DataFrame, text: str = "text") -> DataFrame:
+    """files' rows with the name of each dependency: what stands before the first comparison sign, extras and markers kept."""
+    found = files.lateralJoin(PyprojectDependencies(F.col(text).outer()))
+    return found.select(*files.columns, F.trim(F.split("name", "[><=~]")[0]).alias("name")).where("name <> '' AND name <> 'python'")
+
+
 def pyproject(files: DataFrame, text: str = "text") -> DataFrame:
     found = files.lateralJoin(PyprojectDependencies(F.col(text).outer())) if hasattr(F.col(text), "outer") else files
     plain = F.col("version").isNull()

@@ -4,22 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import json
+import os
+import urllib.request
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.text import strip
+
 SYMBOL = "struct<name:string,kind:string,module_path:string,signature:string,description:string,return_type:string,deprecated:boolean,deprecated_by:string>"
 RELATION = "struct<source:string,target:string,type:string,confidence_score:double,description:string>"
 ANSWER = f"symbols array<{SYMBOL}>, relationships array<{RELATION}>, summary string"
-#: Characters of prose in a prompt.
-PROSE = 8000
+# Characters of prose and rows of a table in a prompt, the summary of pages that are not asked about.
+PROSE, TABLE_ROWS = 8000, 5
+SHORT = "Page too short for meaningful extraction."
 
 
 def prompt() -> Column:
-    """Title, headings, signatures and the beginning of the prose of a parsed page."""
-    heads = F.array_join(F.transform("headings", lambda h: F.concat(F.repeat(F.lit("  "), h["level"] - 1), h["text"])), "\n")
-    prose = F.when(F.length("raw_text") > PROSE, F.concat(F.substring("raw_text", 1, PROSE), F.lit("...[truncated]"))).otherwise(F.col("raw_text"))
-    return F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), heads, prose)
+    """Of a parsed page with its signatures: title, frontmatter, headings, signatures, tables and the beginning of the prose; parts that a page lacks are left out."""
+    part = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {name}\n"), F.array_join(c, "\n")))
+    heads = F.transform("headings", lambda h: F.concat(F.repeat(F.lit("  "), h["level"] - 1), F.lit("- "), h["text"]))
+    signed = F.transform("signatures", lambda s: F.concat(F.lit("- "), s["kind"], F.lit(" "), s["name"], F.lit(": "), s["signature"]))
+    cells = lambda r: F.array_join(r, " | ")
+    tabled = F.transform("tables", lambda t: F.concat_ws("\n", F.when(t["context_heading"] != "", F.concat(F.lit("under "), t["context_heading"])), cells(t["headers"]), F.array_join(F.transform(F.slice(t["rows"], 1, TABLE_ROWS), cells), "\n")))
+    text = strip("raw_text")
+    prose = F.when(F.length(text) > PROSE, F.concat(F.substring(text, 1, PROSE), F.lit("\n...[truncated]"))).otherwise(text)
+    front = F.when(F.size("front") > 0, F.concat(F.lit("## Frontmatter\n"), F.to_json("front")))
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), front, part("Headings", heads), part("Signatures", signed), part("Tables", tabled), F.concat(F.lit("## Text\n"), prose))
+
+
+def detect_backend(env: dict[str, str] | None = None, probe: Callable[[str], list[str]] | None = None) -> str:
+    """The first backend that the environment offers: a key of gemini, anthropic or openai, then a local server with a model, else none.
+
+    probe: names of the models that a server has; an error means that there is none.
+    """
+    env = dict(os.environ) if env is None else env
+    for name in ("gemini", "anthropic", "openai"):
+        if env.get(f"{name.upper()}_API_KEY"):
+            return name
+    try:
+        models = (probe or _models)(env.get("OLLAMA_BASE_URL", "http://localhost:11434"))
+    except Exception:  # no server, or one that does not answer
+        return "none"
+    wanted = env.get("OLLAMA_MODEL")
+    return "ollama" if any(wanted is None or wanted in m for m in models) else "none"
+
+
+def _models(base: str) -> list[str]:
+    with urllib.request.urlopen(f"{base}/api/tags", timeout=2) as r:
+        return [m.get("name", "") for m in json.load(r).get("models", [])]
+
+
+def caller(backend: str, callers: dict[str, Callable[[str], str]]) -> Callable[[str], str]:
+    """The function that asks a backend; none raises RuntimeError, one that is not known ValueError."""
+    if backend == "none":
+        raise RuntimeError("no backend: set a key or give a caller")
+    if backend not in callers:
+        raise ValueError(f"unknown backend: {backend}")
+    return callers[backend]
+
+
+def extract(pages: DataFrame, call: Callable[[str], str], key: str = "page_key") -> DataFrame:
+    """key, symbols, relationships, summary and error of every page: answers of those worth asking about, and a fixed summary of the others."""
+    said = ask(pages.where(worth_asking()), call, key)
+    parsed = parse_answers(said.withColumnRenamed("error", "_failed"))
+    parsed = parsed.select(key, "symbols", "relationships", "summary", F.coalesce("_failed", "error").alias("error"))
+    none = lambda t: F.array().cast(f"array<{t}>")
+    short = pages.where(~worth_asking()).select(key, none(SYMBOL).alias("symbols"), none(RELATION).alias("relationships"), F.lit(SHORT).alias("summary"), F.lit(None).cast("string").alias("error"))
+    return parsed.unionByName(short)
 
 
 def worth_asking() -> Column:

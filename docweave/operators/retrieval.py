@@ -49,15 +49,26 @@ def format_node() -> Column:
     return F.concat_ws("\n", head, *tail)
 
 
+def full_context(nodes: DataFrame) -> DataFrame:
+    """section, place, text of all guides (1) and symbols (2)."""
+    return nodes.select(F.when(F.col("node_type") == "guide", 1).otherwise(2).alias("section"), F.col("ord").alias("place"), format_node().alias("text"))
+
+
+def route(nodes: DataFrame, by: str) -> DataFrame:
+    """by, bytes of all texts, and which way a question about them goes: full if they are small, else graph."""
+    size = F.coalesce(F.sum(F.octet_length(format_node())), F.lit(0)).cast("long")
+    return nodes.groupBy(by).agg(size.alias("bytes")).withColumn("route", F.when(F.col("bytes") < FULL_BYTES, "full").otherwise("graph"))
+
+
 def answer(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, question: str) -> DataFrame:
     """section, place, text: the whole graph if its texts are small, else seeds and neighbours, else an outline of clusters."""
-    size = nodes.agg(F.coalesce(F.sum(F.octet_length(format_node())), F.lit(0))).first()[0]
-    if size < FULL_BYTES:
-        return nodes.select(F.when(F.col("node_type") == "guide", 1).otherwise(2).alias("section"), F.col("ord").alias("place"), format_node().alias("text"))
+    chosen_route = route(nodes, F.lit(1).alias("all")).first()
+    if chosen_route is None or chosen_route["route"] == "full":
+        return full_context(nodes)
     chosen = context_nodes(nodes, edges, question)
     if chosen.isEmpty():
         outline = F.concat(F.lit("### Cluster: "), F.col("name"), F.lit("\n"), F.col("summary"), F.lit("\nContains symbols: "), F.array_join(F.slice("nodes", 1, 15), ", "))
-        return clusters.select(F.lit(0).alias("section"), F.monotonically_increasing_id().alias("place"), outline.alias("text"))
+        return clusters.select(F.lit(0).alias("section"), F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("place"), outline.alias("text"))
     return chosen.join(nodes.drop("ord"), "id").select(F.when(F.col("role") == "seed", 1).otherwise(2).alias("section"), F.col("ord").alias("place"), format_node().alias("text"))
 
 

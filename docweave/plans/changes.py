@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text
-from docweave.operators import dependencies, incremental, model_pass
+from docweave.operators import dependencies, incremental, markdown, model_pass
 from docweave.session import shared_folder
+from docweave.sources import libraries as library_source
 from docweave.streaming import ingest
 
 from . import compose
@@ -159,16 +160,78 @@ def llm_response_parse(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("p_partkey", s["name"].alias("name"), s["kind"].alias("kind"), r["target"].alias("target"), r["type"].alias("type"), r["confidence_score"].alias("score"), F.col("error").isNotNull().alias("failed"))
 
 
-@query("llm_prompt", "SELECT doc_id, length('# ' || source || chr(10) || chr(10) || substr(text, 1, 8000) || CASE WHEN length(text) > 8000 THEN '...[truncated]' ELSE '' END) AS chars FROM documents")
+@query("llm_prompt", """WITH t AS (SELECT doc_id, lang, source, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS s FROM documents)
+SELECT doc_id, sha256('# ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '## Frontmatter' || chr(10) || '{"lang":"' || lang || '"}' ELSE '' END
+|| chr(10) || chr(10) || '## Headings' || chr(10) || '- Top' || chr(10) || '    - ' || lang
+|| CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '## Signatures' || chr(10) || '- function f' || doc_id || ': def f(): pass' ELSE '' END
+|| CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || '## Tables' || chr(10) || 'under Top' || chr(10) || 'a | b' || chr(10) || array_to_string(list_transform(range(5), lambda k: k || ' | ' || doc_id), chr(10)) ELSE '' END
+|| chr(10) || chr(10) || '## Text' || chr(10) || CASE WHEN length(s) > 8000 THEN substr(s, 1, 8000) || chr(10) || '...[truncated]' ELSE s END) AS prompt_sha256 FROM t""")
 def llm_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").select("doc_id", F.col("source").alias("title"), F.array().cast("array<struct<text:string,level:int>>").alias("headings"), F.col("text").alias("raw_text"))
-    return d.select("doc_id", F.length(model_pass.prompt()).cast("long").alias("chars"))
+    """All parts of a prompt, each on some documents only; seven rows of a table, of which five are shown."""
+    only = lambda n, c, t: F.when(F.col("doc_id") % n == 0, c).otherwise(F.array().cast(t))
+    d = table(spark, folder, "documents").select(
+        "doc_id",
+        F.col("source").alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("lang"), F.col("lang"))).otherwise(F.create_map().cast("map<string,string>")).alias("front"),
+        F.array(F.struct(F.lit("Top").alias("text"), F.lit(1).alias("level")), F.struct(F.col("lang").alias("text"), F.lit(3).alias("level"))).alias("headings"),
+        only(3, F.array(F.struct(F.lit("function").alias("kind"), F.concat(F.lit("f"), "doc_id").alias("name"), F.lit("def f(): pass").alias("signature"))), "array<struct<kind:string,name:string,signature:string>>").alias("signatures"),
+        only(5, F.array(F.struct(F.array(F.lit("a"), F.lit("b")).alias("headers"), F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.array(k.cast("string"), F.col("doc_id").cast("string"))).alias("rows"), F.lit("Top").alias("context_heading"))), "array<struct<headers:array<string>,rows:array<array<string>>,context_heading:string>>").alias("tables"),
+        F.col("text").alias("raw_text"),
+    )
+    return d.select("doc_id", F.sha2(model_pass.prompt(), 256).alias("prompt_sha256"))
+
+
+@query("llm_gate", f"""WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM documents)
+SELECT doc_id, CASE WHEN words < 50 AND doc_id % 3 <> 0 THEN '{model_pass.SHORT}' ELSE 'said ' || (doc_id % 7) END AS summary, CASE WHEN words >= 50 OR doc_id % 3 = 0 THEN CASE WHEN doc_id % 7 = 1 THEN 'not a JSON object' END END AS error FROM d WHERE NOT ((words >= 50 OR doc_id % 3 = 0) AND doc_id % 7 = 1)
+UNION ALL SELECT doc_id, '', 'not a JSON object' FROM d WHERE (words >= 50 OR doc_id % 3 = 0) AND doc_id % 7 = 1""")
+def llm_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a page: short ones without signatures get the fixed summary, the others what a caller says of them."""
+    none = lambda t: F.array().cast(t)
+    signed = F.when(F.col("doc_id") % 3 == 0, F.array(F.struct(F.lit("function").alias("kind"), F.lit("f").alias("name"), F.lit("f()").alias("signature")))).otherwise(none("array<struct<kind:string,name:string,signature:string>>"))
+    d = table(spark, folder, "documents")
+    pages = d.select(F.col("doc_id").cast("string").alias("page_key"), F.col("doc_id").cast("string").alias("title"), F.create_map().cast("map<string,string>").alias("front"), none("array<struct<text:string,level:int>>").alias("headings"), none("array<struct<headers:array<string>,rows:array<array<string>>,context_heading:string>>").alias("tables"), signed.alias("signatures"), F.col("text").alias("raw_text"), text.word_count("text").alias("word_count"))
+
+    def call(prompt: str) -> str:
+        number = int(prompt.split("\n", 1)[0][2:])
+        return "no JSON" if number % 7 == 1 else '{"summary": "said %d"}' % (number % 7)
+
+    return model_pass.extract(pages, call).select(F.col("page_key").cast("long").alias("doc_id"), "summary", "error")
+
+
+_YAML = """'---' || chr(10) || 'title: "Of: ' || source || '"' || chr(10) || '# comment' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10) || '  - "n' || doc_id || '"' || chr(10) || 'inline: [a, ''b c'', ' || doc_id || ']' || chr(10)
+|| 'author:' || chr(10) || '  name: A B' || chr(10) || '  id: ' || doc_id || chr(10) || 'draft: ' || (doc_id % 2) || '   # why' || chr(10) || 'draft: last' || chr(10) || 'empty:' || chr(10) || '---' || chr(10) || 'body'"""
+
+
+@query("md_frontmatter", """SELECT doc_id, unnest(['title', 'tags', 'inline', 'author', 'draft']) AS key, unnest(['Of: ' || source, '["' || lang || '","n' || doc_id || '"]', '["a","b c","' || doc_id || '"]', '{"name":"A B","id":"' || doc_id || '"}', 'last']) AS value FROM documents""")
+def md_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
+    d = compose.run(spark, folder, f"SELECT doc_id, {_YAML} AS content FROM documents", "documents")
+    return d.select("doc_id", F.explode(markdown.frontmatter("content")).alias("key", "value"))
+
+
+@query("package_json_names", "SELECT s_suppkey, unnest(['npm-' || s_suppkey, 'left', 'left']) AS name, unnest([0, 1, 2])::INTEGER AS ord FROM supplier")
+def package_json_names(spark: SparkSession, folder: str) -> DataFrame:
+    return dependencies.package_json_names(compose.run(spark, folder, f"SELECT s_suppkey, {_JSON} AS text FROM supplier", "supplier")).select("s_suppkey", "name", "ord")
+
+
+@query("pyproject_names", "SELECT s_suppkey, unnest(['fast-' || s_suppkey, 'web', 'orm']) AS name FROM supplier")
+def pyproject_names(spark: SparkSession, folder: str) -> DataFrame:
+    return dependencies.pyproject_names(compose.run(spark, folder, f"SELECT s_suppkey, {_TOML} AS text FROM supplier", "supplier")).select("s_suppkey", "name")
+
+
+@query("library_info", """WITH e AS (SELECT DISTINCT n_name AS id, s_suppkey // 10 AS a, s_suppkey % 10 AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0)
+SELECT n_name AS id, coalesce((SELECT string_agg(a || '.' || b, ',' ORDER BY a DESC, b DESC) FROM e WHERE e.id = n_name), '') AS extracted FROM nation""")
+def library_info(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations as libraries; every other supplier is an extracted version, ordered by number."""
+    libs = table(spark, folder, "nation").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("k"))
+    v = F.concat_ws(".", F.floor(F.col("s_suppkey") / 10).cast("string"), (F.col("s_suppkey") % 10).cast("string"))
+    have = table(spark, folder, "supplier").join(libs, F.col("s_nationkey") == F.col("k")).select(F.col("id").alias("library"), F.when(F.col("s_suppkey") % 2 == 0, v).alias("version"))
+    return library_source.info(libs.select("id"), have).select("id", F.array_join("extracted", ",").alias("extracted"))
 
 
 @query("stream_incremental_ingest", "SELECT 'doc/' || doc_id AS page_key, sha256(text) AS sha256 FROM documents")
 def stream_incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """documents as a stream, ingested twice: the second run finds nothing new."""
-    root = tempfile.mkdtemp(prefix="docweave-stream-", dir=shared_folder(spark).removeprefix("file://")) if shared_folder(spark).startswith(("/", "file://")) else f"{shared_folder(spark)}/stream"
+    root = f"{shared_folder(spark)}/docweave/stream-{uuid.uuid4().hex}"
     schema = table(spark, folder, "documents").schema
     for run in ("first", "second"):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/documents.parquet*").select(F.concat(F.lit("doc/"), "doc_id").alias("page_key"), F.col("text").alias("content"))

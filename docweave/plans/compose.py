@@ -21,7 +21,7 @@ CONTENT = (
 PAGES = f"SELECT p_partkey AS page_ord, 'docs/part-' || p_partkey || '.md' AS page_key, p_size, p_name, p_brand, p_type, {CONTENT} AS content, {CODE} AS code FROM part"
 #: Symbols, guides and edges of a graph, with names and ids that collide.
 NODES = """SELECT 'shop@1::' || p_name || p_size % 7 AS id, p_partkey AS ord, 'symbol' AS node_type, p_name || p_size % 7 AS name, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind, p_brand || ' ' || p_partkey AS signature FROM part
-UNION ALL SELECT 'shop@1::guides/' || o_orderkey AS id, 1000000 + o_orderkey AS ord, 'guide' AS node_type, 'Order ' || o_orderpriority || ' ' || o_orderkey AS name, CAST(NULL AS STRING) AS kind, CAST(NULL AS STRING) AS signature FROM orders WHERE o_orderkey % 10 = 0"""
+UNION ALL SELECT 'shop@1::guides/' || o_orderkey AS id, 1000000 + o_orderkey AS ord, 'guide' AS node_type, 'Order ' || o_orderpriority || ' ' || o_orderkey AS name, CAST(NULL AS STRING) AS kind, CAST(NULL AS STRING) AS signature FROM orders"""
 EDGES = """SELECT 'shop@1::guides/' || l_orderkey AS source, CASE WHEN l_linenumber % 3 = 0 THEN 'no such name' ELSE p_name || p_size % 7 END AS target, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, CASE WHEN l_linenumber % 2 = 0 THEN 'REFERENCES' ELSE 'RELATED_TO' END AS type,
 CASE WHEN l_linenumber % 2 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_discount END AS score FROM lineitem JOIN part ON l_partkey = p_partkey"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import community, graph, index, retrieval
+from docweave.sources import files
 
 from . import compose
 from .compose import EDGES, NODES
@@ -79,11 +80,13 @@ def degree_topk(spark: SparkSession, folder: str) -> DataFrame:
     return graph.degrees(_edges(spark, folder)).orderBy(F.desc("degree"), "id").limit(20)
 
 
-@query("guide_references", """WITH t AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2), g AS (SELECT DISTINCT l_orderkey, l_partkey FROM t)
-SELECT 'g' || l_orderkey AS source, 's' || l_partkey AS target, 'REFERENCES' AS type, 'EXTRACTED' AS confidence FROM g WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)""")
+@query("guide_references", """WITH g AS (SELECT DISTINCT 'g' || l_orderkey AS source, CASE WHEN l_linenumber % 3 = 0 THEN 'x' ELSE 's' END || l_partkey AS target FROM lineitem)
+SELECT source, target, 'REFERENCES' AS type, 'EXTRACTED' AS confidence FROM g WHERE target IN (SELECT 's' || p_partkey FROM part)""")
 def guide_references(spark: SparkSession, folder: str) -> DataFrame:
-    g = table(spark, folder, "lineitem").where("l_linenumber <= 2").groupBy(F.concat(F.lit("g"), "l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("s"), "l_partkey")).alias("related_symbols"))
-    return graph.references(g, table(spark, folder, "part").where("p_size > 10").select(F.concat(F.lit("s"), "p_partkey").alias("id")))
+    """Every line's part; of each third line the name is one that no part has."""
+    name = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "x").otherwise("s"), "l_partkey")
+    g = table(spark, folder, "lineitem").groupBy(F.concat(F.lit("g"), "l_orderkey").alias("id")).agg(F.collect_set(name).alias("related_symbols"))
+    return graph.references(g, table(spark, folder, "part").select(F.concat(F.lit("s"), "p_partkey").alias("id")))
 
 
 @query("symbol_index", f"WITH {_N}, o AS (SELECT name, id, min(ord) AS ord FROM n GROUP BY name, id) SELECT name, string_agg(id, ',' ORDER BY ord, id) AS ids, count(*) AS n FROM o GROUP BY name")
@@ -134,10 +137,31 @@ def symbol_details(spark: SparkSession, folder: str) -> DataFrame:
     return _last(spark, folder).where(F.col("id") == "shop@1::red widget3").select("id", "name", "kind", "signature")
 
 
-@query("full_context", f"WITH {_LAST} SELECT CASE WHEN node_type = 'guide' THEN 1 ELSE 2 END AS section, ord AS place, '## ' || name || CASE WHEN node_type = 'guide' THEN ' (guide)' ELSE ' (' || kind || ')' END || coalesce(chr(10) || nullif(signature, ''), '') AS text FROM g WHERE node_type = 'symbol'")
+@query("full_context", f"WITH {_LAST} SELECT CASE WHEN node_type = 'guide' THEN 1 ELSE 2 END AS section, ord AS place, '## ' || name || CASE WHEN node_type = 'guide' THEN ' (guide)' ELSE ' (' || kind || ')' END || coalesce(chr(10) || nullif(signature, ''), '') AS text FROM g")
 def full_context(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = _last(spark, folder).where("node_type = 'symbol'").withColumn("description", F.lit(None).cast("string"))
-    return nodes.select(F.lit(2).alias("section"), F.col("ord").alias("place"), retrieval.format_node().alias("text"))
+    return retrieval.full_context(_last(spark, folder).withColumn("description", F.lit(None).cast("string")))
+
+
+@query("context_routes", f"WITH {_LAST}, f AS (SELECT CASE WHEN node_type = 'guide' THEN name ELSE kind END AS k, '## ' || name || CASE WHEN node_type = 'guide' THEN ' (guide)' ELSE ' (' || kind || ')' END || coalesce(chr(10) || nullif(signature, ''), '') AS text FROM g) SELECT left(k, 9) AS part, sum(octet_length(encode(text)))::BIGINT AS bytes, CASE WHEN sum(octet_length(encode(text))) < 60000 THEN 'full' ELSE 'graph' END AS route FROM f GROUP BY left(k, 9)")
+def context_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """The operator's own threshold, over parts of the graph: kinds of symbols, and guides by the beginning of their title."""
+    nodes = _last(spark, folder).withColumn("description", F.lit(None).cast("string"))
+    part = F.left(F.when(F.col("node_type") == "guide", F.col("name")).otherwise(F.col("kind")), F.lit(9))
+    return retrieval.route(nodes.withColumn("part", part), "part")
+
+
+@query("graph_export", f"""WITH {_DEDUP}, {_LAST[len(_N) + 2 :]},
+q AS (SELECT 'shop@1' AS version_id, sum(ord)::HUGEINT AS ords, count(*) AS node_count, count(kind) AS kinds, sum(length(signature))::BIGINT AS signed FROM g)
+SELECT version_id, node_count, ords::VARCHAR AS ords, kinds, signed, (SELECT count(*) FROM d) AS edge_count, (SELECT count(score) FROM d) AS scored FROM q""")
+def graph_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The exported JSON read again: nothing of nodes and edges is lost."""
+    v = F.lit("shop@1").alias("version_id")
+    text = files.graph_json(_last(spark, folder).select("*", v), _edges(spark, folder).select("*", v))
+    node, edge = "array<struct<ord:bigint,id:string,node_type:string,name:string,kind:string,signature:string>>", "array<struct<ord:bigint,source:string,target:string,type:string,score:double>>"
+    j = text.select("version_id", F.from_json("graph", f"nodes {node}, edges {edge}, metadata struct<node_count:bigint,edge_count:bigint>").alias("g"))
+    total = F.aggregate("g.nodes", F.lit(0).cast("decimal(38,0)"), lambda a, n: (a + n["ord"]).cast("decimal(38,0)"))
+    size = F.aggregate("g.nodes", F.lit(0).cast("long"), lambda a, n: a + F.coalesce(F.length(n["signature"]), F.lit(0)))
+    return j.select("version_id", "g.metadata.node_count", total.cast("string").alias("ords"), F.size(F.filter("g.nodes", lambda n: n["kind"].isNotNull())).cast("long").alias("kinds"), size.alias("signed"), "g.metadata.edge_count", F.size(F.filter("g.edges", lambda e: e["score"].isNotNull())).cast("long").alias("scored"))
 
 
 @query("full_context_router", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS bytes, CASE WHEN sum(octet_length(encode(text))) < 60000 THEN 'full' ELSE 'graph' END AS route FROM documents GROUP BY source")
@@ -155,13 +179,15 @@ def library_status_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.status(t("supplier").join(nation, F.col("s_nationkey") == F.col("k")), guides, t("orders").join(guides, F.col("o_custkey") == F.col("c_custkey")))
 
 
-_SMALL = "SELECT 's' || l_suppkey % 40 AS source, 'p' || l_partkey % 900 AS target FROM lineitem WHERE l_quantity = 7 AND l_linenumber = 1"
+_LINKS = """SELECT 'c' || o_custkey AS source, 'k' || o_orderkey AS target FROM orders UNION ALL SELECT 's' || l_suppkey || '-' || l_linenumber || l_returnflag, 'p' || l_partkey || '-' || l_linenumber || l_returnflag FROM lineitem
+UNION ALL SELECT 'p' || l_partkey || '-' || l_linenumber || l_returnflag, 'q' || l_orderkey || '-' || l_linenumber FROM lineitem"""
 
 
-@query("connected_components", f"""WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM ({_SMALL})), b AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
-r(id, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON r.id = b.a) SELECT id, min(root) AS component FROM r GROUP BY id""")
+@query("connected_components", f"""WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM ({_LINKS})), b AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
+r(id, root) USING KEY (id) AS (SELECT DISTINCT a, a FROM b UNION SELECT b.b, min(r.root) FROM r JOIN b ON r.id = b.a JOIN recurring.r AS o ON o.id = b.b WHERE r.root < o.root GROUP BY b.b) SELECT id, root AS component FROM r""")
 def connected_components(spark: SparkSession, folder: str) -> DataFrame:
-    return community.components(compose.run(spark, folder, _SMALL, "lineitem"))
+    """Orders with their customers; and each line with its part and supplier, of one line number and flag: components of all sizes."""
+    return community.components(compose.run(spark, folder, _LINKS, "orders", "lineitem"))
 
 
 @query("louvain_communities")

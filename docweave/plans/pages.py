@@ -34,9 +34,10 @@ def html_main_text_len(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("page_id", F.length("m").cast("long").alias("main_chars"), F.length(F.regexp_replace("m", "(?s)<[^>]+>", "")).cast("long").alias("text_chars"))
 
 
-@query("html_links", f"SELECT page_id, unnest(regexp_extract_all(m, '(?is)<a\\b[^>]*href=[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a\\s*>', 1)) AS url FROM ({_MAIN})")
+@query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href=[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a\\s*>', 1)) AS url FROM pages")
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "pages").select("page_id", html.main_html(F.col("html")).alias("m"))
+    """Of the whole pages, furniture included: these pages have no links elsewhere."""
+    m = table(spark, folder, "pages").select("page_id", F.col("html").alias("m"))
     return m.select("page_id", F.explode(F.regexp_extract_all("m", F.lit(r"(?is)<a\b[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"), F.lit(1))).alias("url"))
 
 

@@ -37,6 +37,24 @@ def listing(libraries: DataFrame, installed: DataFrame | None = None) -> DataFra
     return out.orderBy("id")
 
 
+def single_file(spark: SparkSession, path: str) -> str | None:
+    """The text of one file, or None where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def doc_files_checked(spark: SparkSession, root: str, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_files, and beside it (path, error) of the files that are no UTF-8 text."""
+    wanted = [f"{root.rstrip('/')}/{p}".rstrip("/") for p in (paths or [""])]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(wanted).where(is_doc_path("path"))
+    bad = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.lit("not UTF-8").alias("error")).distinct()
+    good = doc_files(spark, root, paths)
+    names = bad.select(F.regexp_replace("path", r"^[a-z]+:/*", "/").alias("_bad"))
+    return good.join(names, F.regexp_replace("source_url", r"^[a-z]+:/*", "/") == F.col("_bad"), "left_anti"), bad
+
+
 def doc_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """page_key, content, source_url and file_type of the documentation files under root/path for each path, or the path itself if it is a file."""
     wanted = [f"{root.rstrip('/')}/{p}".rstrip("/") for p in (paths or [""])]
@@ -70,9 +88,9 @@ def read_graph(spark: SparkSession, folder: str, form: str = "parquet") -> tuple
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a version: the whole graph as a JSON text, for export of single libraries."""
-    n = nodes.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "node_type"))).alias("nodes"))
-    e = edges.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target", "type"))).alias("edges"))
+    """One row a version: the whole graph with all attributes as a JSON text, for export of single libraries; missing attributes are left out."""
+    n = nodes.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", *[c for c in nodes.columns if c not in ("ord", "id", "version_id")]))).alias("nodes"))
+    e = edges.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target", *[c for c in edges.columns if c not in ("ord", "source", "target", "version_id")]))).alias("edges"))
     both = n.join(e, "version_id", "left")
     meta = F.struct(F.size("nodes").alias("node_count"), F.coalesce(F.size("edges"), F.lit(0)).alias("edge_count"), F.lit("property_graph").alias("format"))
     return both.select("version_id", F.to_json(F.struct("nodes", "edges", meta.alias("metadata"))).alias("graph"))

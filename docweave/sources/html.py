@@ -51,7 +51,8 @@ def pages_from_html(pages: DataFrame, url: str = "url", html: str = "html") -> D
 
 
 def sitemap_urls(sitemaps: DataFrame, base_url: str, limit: int = 200, xml: str = "xml") -> DataFrame:
-    """The first locations under base_url in each sitemap's order; base_url itself if there is none."""
-    at = sitemaps.select(F.posexplode(F.expr(f"xpath({xml}, '//*[local-name()=\"loc\"]/text()')")).alias("pos", "url")).withColumn("url", F.trim("url"))
-    found = at.where(F.col("url").startswith(base_url)).orderBy("pos", "url").limit(limit).select("url")
+    """The first locations under base_url, sitemap after sitemap (by their column ord, if there is one) in each one's order; base_url itself if there is none."""
+    ord_ = F.col("ord") if "ord" in sitemaps.columns else F.lit(0)
+    at = sitemaps.select(ord_.alias("ord"), F.posexplode(F.expr(f"xpath({xml}, '//*[local-name()=\"loc\"]/text()')")).alias("pos", "url")).withColumn("url", F.trim("url"))
+    found = at.where(F.col("url").startswith(base_url)).orderBy("ord", "pos", "url").limit(limit).select("url")
     return found if not found.isEmpty() else sitemaps.sparkSession.sql(f"SELECT '{base_url}' AS url")
