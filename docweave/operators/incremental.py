@@ -26,6 +26,11 @@ def deleted(manifest: DataFrame, pages: DataFrame, key: str = "page_key") -> Dat
     return manifest.join(pages.select(key).distinct(), key, "left_anti")
 
 
+def keys(manifest: DataFrame, key: str = "page_key") -> DataFrame:
+    """The pages that the manifest knows."""
+    return manifest.select(key).distinct()
+
+
 def stats(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count(F.lit(1)).alias("pages"), F.sum("node_count").alias("nodes"), F.sum("edge_count").alias("edges"))
 

@@ -20,6 +20,12 @@ ANSWER = f"symbols array<{SYMBOL}>, relationships array<{RELATION}>, summary str
 # Characters of prose and rows of a table in a prompt, the summary of pages that are not asked about.
 PROSE, TABLE_ROWS = 8000, 5
 SHORT = "Page too short for meaningful extraction."
+#: Models that are asked unless the environment names another, and the longest answer.
+MODELS = {"gemini": "gemini-2.5-flash", "anthropic": "claude-sonnet-4-20250514", "openai": "gpt-4o-mini", "ollama": "llama3.2"}
+MAX_TOKENS = 4096
+SYSTEM = """You read one page of API documentation. Answer with one JSON object and nothing else: symbols (name, kind, module_path, signature,
+description, return_type, deprecated, deprecated_by), relationships (source, target, type, confidence_score, description) and summary.
+Name only what the page names."""
 
 
 def prompt() -> Column:
@@ -57,13 +63,46 @@ def _models(base: str) -> list[str]:
         return [m.get("name", "") for m in json.load(r).get("models", [])]
 
 
-def caller(backend: str, callers: dict[str, Callable[[str], str]]) -> Callable[[str], str]:
-    """The function that asks a backend; none raises RuntimeError, one that is not known ValueError."""
+def caller(backend: str, callers: dict[str, Callable[[str], str]] | None = None, system: str = SYSTEM, env: dict[str, str] | None = None) -> Callable[[str], str]:
+    """The function that asks a backend: one of callers, or the backend's public web interface; none raises RuntimeError, one that is not known ValueError."""
     if backend == "none":
         raise RuntimeError("no backend: set a key or give a caller")
-    if backend not in callers:
+    if callers and backend in callers:
+        return callers[backend]
+    if backend not in MODELS:
         raise ValueError(f"unknown backend: {backend}")
-    return callers[backend]
+    own = dict(os.environ) if env is None else env
+    return lambda prompt: reply(backend, _send(*request(backend, prompt, system, own)))
+
+
+def request(backend: str, prompt: str, system: str, env: dict[str, str]) -> tuple[str, dict[str, str], dict]:
+    """Address, headers and body that ask a backend."""
+    name = backend.upper()
+    model, key = env.get(f"{name}_MODEL") or MODELS[backend], env.get(f"{name}_API_KEY", "")
+    turns = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+    if backend == "gemini":
+        part = lambda t: {"parts": [{"text": t}]}
+        return f"https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent", {"x-goog-api-key": key}, {"system_instruction": part(system), "contents": [part(prompt)]}
+    if backend == "anthropic":
+        return "https://api.anthropic.com/v1/messages", {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": model, "max_tokens": MAX_TOKENS, "system": system, "messages": turns[1:]}
+    if backend == "openai":
+        return "https://api.openai.com/v1/chat/completions", {"Authorization": f"Bearer {key}"}, {"model": model, "max_tokens": MAX_TOKENS, "messages": turns}
+    base = env.get("OLLAMA_BASE_URL", "http://localhost:11434")
+    return f"{base}/api/chat", {"Authorization": f"Bearer {key}"} if key else {}, {"model": model, "messages": turns, "stream": False}
+
+
+def reply(backend: str, answer: dict) -> str:
+    """The text of a backend's answer; an empty one counts as an empty object."""
+    ways = {"gemini": ("candidates", 0, "content", "parts", 0, "text"), "anthropic": ("content", 0, "text"), "openai": ("choices", 0, "message", "content"), "ollama": ("message", "content")}
+    for step in ways[backend]:
+        answer = answer[step]
+    return answer or "{}"
+
+
+def _send(url: str, headers: dict[str, str], body: dict) -> dict:
+    ask_ = urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
+    with urllib.request.urlopen(ask_, timeout=120) as r:
+        return json.load(r)
 
 
 def extract(pages: DataFrame, call: Callable[[str], str], key: str = "page_key") -> DataFrame:

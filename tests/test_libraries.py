@@ -119,6 +119,15 @@ def test_backends():
         model_pass.caller("x", {})
 
 
+def test_requests_and_replies():
+    answers = {"gemini": {"candidates": [{"content": {"parts": [{"text": "a"}]}}]}, "anthropic": {"content": [{"text": "a"}]}, "openai": {"choices": [{"message": {"content": "a"}}]}, "ollama": {"message": {"content": ""}}}
+    for backend, answer in answers.items():
+        url, headers, body = model_pass.request(backend, "the page", "the rules", {f"{backend.upper()}_API_KEY": "key", f"{backend.upper()}_MODEL": "mine"})
+        assert url.startswith("http") and "key" in str(headers) and "the page" in str(body) and "the rules" in str(body) and "mine" in url + str(body)
+        assert model_pass.reply(backend, answer) == ("{}" if backend == "ollama" else "a")
+    assert model_pass.caller("x", {"x": str.upper})("a") == "A"
+
+
 def test_frontmatter_forms(spark):
     text = "---\nt: 'a: b'\nl:\n- x\n-  \"y\"\nm:\n  k: 1\n  j: two\nfold: >\n  one\n  two\n# no\nnot yaml at all\nt: again\n---\nbody"
     df = spark.createDataFrame([(text,), ("---\n- only\n---\nx",), ("none",), (None,)], "c string")
