@@ -48,13 +48,22 @@ HEADS = 256
 TAIL = 8
 
 
-def _norm(e: str):
-    large = F.array_max(F.transform(e, lambda x: F.abs(x)))
-    return large * F.sqrt(F.aggregate(F.transform(e, lambda x: (x / large) * (x / large)), F.lit(0.0), lambda a, x: a + x))
+def _norms(rows: DataFrame, width: int) -> DataFrame:
+    """vec_id and norm of every row."""
+
+    def part(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                e = matrix(batch.column(1).slice(lo, 2048), width)
+                large = np.abs(e).max(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 2048), pa.array((large * np.sqrt(((e / large) ** 2).sum(axis=1, keepdims=True)))[:, 0])], names=["vec_id", "norm"])
+
+    return rows.select("vec_id", "e").mapInArrow(part, "vec_id long, norm double")
 
 
-def _heads(rows: DataFrame, most: int) -> DataFrame:
-    return rows.select("vec_id", "e", _norm("e").alias("norm")).orderBy(F.desc("norm"), "vec_id").limit(most)
+def _heads(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """vec_id and norm of the longest rows."""
+    return _norms(rows, width).orderBy(F.desc("norm"), "vec_id").limit(most)
 
 
 def quantise(table: DataFrame) -> tuple[DataFrame, int]:
@@ -66,7 +75,7 @@ def quantise(table: DataFrame) -> tuple[DataFrame, int]:
     ship(table.sparkSession)
     rows = keep(usable(table, zero=False), "vectors")
     width = rows.agg(F.max(F.size("e"))).first()[0] or 0
-    radius = min((r["norm"] for r in _heads(rows, HEADS + 1).select("norm").collect()), default=1.0)
+    radius = min((r["norm"] for r in _heads(rows, width, HEADS + 1).collect()), default=1.0)
 
     def part(batches):
         for batch in batches:
@@ -290,7 +299,8 @@ def search(graph: DataFrame, vectors: DataFrame, width: int, asked: DataFrame, k
             node, count = np.unique(owner, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(node), lists(count, pa.array(v)), lists(count, pa.array(s)), lists(count, pa.array(done == 1))], names=["q", "v", "s", "opened"])
 
-    longest = _heads(vectors, HEADS).orderBy("vec_id").toArrow()
+    ids = F.broadcast(_heads(vectors, width, HEADS).select("vec_id"))  # HEADS rows
+    longest = vectors.select("vec_id", "e").join(ids, "vec_id").orderBy("vec_id").toArrow()
     heads = spark.sparkContext.broadcast((longest["vec_id"].to_numpy(), matrix(longest["e"].combine_chunks(), width)))
 
     def headed(batches):
