@@ -55,10 +55,11 @@ def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sitemap_urls", "SELECT url FROM (SELECT page_id, url FROM pages WHERE starts_with(url, 'https://') ORDER BY page_id LIMIT 200)")
 def sitemap_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages' addresses written as one sitemap and read again; the limit is the operator's."""
+    """The pages' addresses written as sitemaps of 1,000 ids each and read again; the limit is the operator's."""
     loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    rows = table(spark, folder, "pages").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("l")))), lambda x: x["l"]), "").alias("l"))
-    return html.sitemap_urls(rows.select(F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("xml")), "https://")
+    maps = table(spark, folder, "pages").groupBy(F.floor(F.col("page_id") / 1000).alias("ord"))
+    rows = maps.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("l")))), lambda x: x["l"]), "").alias("l"))
+    return html.sitemap_urls(rows.select("ord", F.concat(F.lit("<urlset>"), "l", F.lit("</urlset>")).alias("xml")), "https://")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
