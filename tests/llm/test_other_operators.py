@@ -392,3 +392,20 @@ def test_pipeline(spark, tmp_path):
     assert 121 not in seen["near_duplicates"] and 120 in seen["near_duplicates"] and seen["secrets"] == seen["mixture"] == seen["tokens"] == seen["near_duplicates"]
     assert spark.read.parquet(str(tmp_path / "2-secrets")).where("doc_id = 122 AND text LIKE '[SECRET]%'").count() == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    """Each stage, and all together, on no documents, with and without labels; and on documents without labels."""
+    import corpus_pipeline
+
+    none = documents(spark, ["x"]).limit(0).select("doc_id", "text", "lang", "source", "n_chars")
+    label = "doc_id long, quality int, toxic int"
+    for name, docs, labels in (("empty", none, []), ("labels", none, [(1, 1, 0), (2, 0, 1)]), ("plain", documents(spark, ["one text", None]).select(*none.columns), [])):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels, label).write.parquet(str(folder / "labels.parquet"))
+        rows = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r["doc_id"] for r in rows} == ({0, 1} if name == "plain" else set())
+    for stage, f in corpus_pipeline.STAGES:
+        out = f(spark, none, str(tmp_path / "labels"))
+        assert out.count() == 0 and (stage == "tokens" or out.columns == none.columns)

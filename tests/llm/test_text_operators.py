@@ -478,3 +478,34 @@ def test_toxicity(spark):
 @pytest.mark.parametrize("run", [lambda d: ngram_join.ngram_join(d), lambda d: secrets.digest(secrets.scan(d)[0]), lambda d: hpylm.language_model(d), lambda d: pii.personal_data(d), lambda d: bpe.round_trip(d, pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken"))])
 def test_empty_tables(spark, run):
     assert run(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """What stands at the end of a text of 3 MB is found, counted and decoded as anywhere else."""
+    import hashlib
+
+    draw = random.Random(4)
+    body = " ".join(text(draw, 2000) + "\n" for _ in range(220))
+    tail = " mail long.one@example.org from 10.20.30.40 password=abcdefABCDEF123456"
+    whole = body + tail
+    assert len(whole) > 3_000_000
+    texts = [whole, "short text", None, whole]
+    docs = documents(spark, texts).repartition(1)
+
+    def got(df):
+        return {r["doc_id"]: r for r in df.collect()}
+
+    join = got(ngram_join.ngram_join(docs))
+    assert len(join) == 4
+    found = got(secrets.digest(secrets.scan(docs)[0]))
+    assert [found[k]["n_assign"] for k in range(4)] == [1, 0, 0, 1]
+    personal = got(pii.personal_data(docs))
+    assert [(personal[k]["n_email"], personal[k]["n_ip"]) for k in range(4)] == [(1, 1), (0, 0), (0, 0), (1, 1)]
+    assert f"email:{whole.index('long.one')}:{whole.index(' from 10.')}" in personal[0]["spans"].split(",")
+    scored = got(hpylm.language_model(docs))
+    assert [scored[k]["n_tokens"] for k in range(4)] == [len((t or "").split()) + 1 for t in texts]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in got(toxicity.toxicity(docs, labels)).values())
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken")
+    decoded = got(bpe.round_trip(docs, path))
+    assert [decoded[k]["decoded_sha256"] for k in range(4)] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
