@@ -8,24 +8,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.session import cut_lineage
+from docweave.session import cut_lineage, forget
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id and component (its least id) by least neighbours and pointer jumping; the table is written each round, so lineage stays short."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(near, label["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"))
-        jump = new.select(F.col("id").alias("_c"), F.col("component").alias("_j"))
-        new = cut_lineage(new.join(jump, new["component"] == jump["_c"], "left").select("id", F.coalesce("_j", "component").alias("component"), ))
-        changed = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+    """id and component (its least id), by contraction.
+
+    Ids become 64-bit keys (hashes; if two ids share one, all are hashed anew). In a round every node takes its neighbour of
+    the most edges (or itself), then what that one took, and nodes of one label become one node; edges within are gone. So a round works on a fraction of
+    the one before, and any label is a node of the same component, whatever ties do. Tables are written each round, so lineage stays short.
+    """
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    ids = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
+    kind = ids.schema["id"].dataType
+    for seed in range(rounds):
+        nodes = cut_lineage(ids.withColumn("key", _key(F.col("id"), seed)))
+        if nodes.groupBy("key").count().where("count > 1").isEmpty():
+            break
+        forget(nodes)
+    else:
+        raise RuntimeError("ids share keys")
+    level = cut_lineage(ends.select(*[_key(F.col(c).cast(kind), seed).alias(c) for c in ("a", "b")]).where("a <> b"))
+    labels = []
+    while not level.isEmpty():
+        if len(labels) == rounds:
+            raise RuntimeError("components did not settle")
+        labels.append(_labels(level, len(labels)))
+        ours, theirs = (labels[-1].select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("a", "b"))
+        near = level.join(ours, "a").join(theirs, "b").where("_a <> _b")
+        new = cut_lineage(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        forget(level)
+        level = new
+    root = None
+    for k, step in enumerate(reversed(labels)):
+        if k:
+            above = step.join(root.withColumnRenamed("node", "label"), "label", "left")
+            step = above.select("node", F.coalesce("root", "label").alias("root"))
+        root = step.toDF("node", "root")
+    if root is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    found = nodes.join(root, nodes["key"] == root["node"], "left").select("id", F.coalesce("root", "key").alias("root"))
+    found = cut_lineage(found)
+    for t in (nodes, *labels):
+        forget(t)
+    return found.join(found.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+
+
+def _key(c, seed: int):
+    return F.xxhash64(F.lit(seed), c)
+
+
+def _labels(level: DataFrame, number: int) -> DataFrame:
+    """node and label of every node of level (a, b): of its neighbours and itself the one of the most edges (then by a hash that is new in each round), and of that one the same."""
+    both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rank = lambda n, c: F.least(n, F.lit((1 << 22) - 1)) * F.lit(1 << 40) + F.xxhash64(F.lit(-1 - number), c).bitwiseAND(F.lit((1 << 40) - 1))
+    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    ranked = both.join(degree, "b").select("a", "b", rank(F.col("n"), F.col("b")).alias("r"))
+    best = ranked.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.max_by("b", "r").alias("b"))
+    taken = cut_lineage(best.select(F.col("a").alias("node"), F.when(F.col("r") > rank(F.col("n"), F.col("a")), F.col("b")).otherwise(F.col("a")).alias("taken")))
+    jump = taken.select(F.col("node").alias("taken"), F.col("taken").alias("label"))
+    out = cut_lineage(taken.join(jump, "taken").select("node", "label"))
+    forget(taken)
+    return out
 
 
 def louvain(edges: list[tuple[str, str]], seed: int = 7, resolution: float = 1.0) -> dict[str, int]:
