@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import community, graph, index, retrieval
+from docweave.session import cut_lineage, new_path, remove
 from docweave.sources import files
 
 from . import compose
@@ -154,14 +155,16 @@ def context_routes(spark: SparkSession, folder: str) -> DataFrame:
 q AS (SELECT 'shop@1' AS version_id, sum(ord)::HUGEINT AS ords, count(*) AS node_count, count(kind) AS kinds, sum(length(signature))::BIGINT AS signed FROM g)
 SELECT version_id, node_count, ords::VARCHAR AS ords, kinds, signed, (SELECT count(*) FROM d) AS edge_count, (SELECT count(score) FROM d) AS scored FROM q""")
 def graph_export(spark: SparkSession, folder: str) -> DataFrame:
-    """The exported JSON read again: nothing of nodes and edges is lost."""
-    v = F.lit("shop@1").alias("version_id")
-    text = files.graph_json(_last(spark, folder).select("*", v), _edges(spark, folder).select("*", v))
-    node, edge = "array<struct<ord:bigint,id:string,node_type:string,name:string,kind:string,signature:string>>", "array<struct<ord:bigint,source:string,target:string,type:string,score:double>>"
-    j = text.select("version_id", F.from_json("graph", f"nodes {node}, edges {edge}, metadata struct<node_count:bigint,edge_count:bigint>").alias("g"))
-    total = F.aggregate("g.nodes", F.lit(0).cast("decimal(38,0)"), lambda a, n: (a + n["ord"]).cast("decimal(38,0)"))
-    size = F.aggregate("g.nodes", F.lit(0).cast("long"), lambda a, n: a + F.coalesce(F.length(n["signature"]), F.lit(0)))
-    return j.select("version_id", "g.metadata.node_count", total.cast("string").alias("ords"), F.size(F.filter("g.nodes", lambda n: n["kind"].isNotNull())).cast("long").alias("kinds"), size.alias("signed"), "g.metadata.edge_count", F.size(F.filter("g.edges", lambda e: e["score"].isNotNull())).cast("long").alias("scored"))
+    """The exported JSON lines read again: nothing of nodes and edges is lost."""
+    v, path = F.lit("shop@1").alias("version_id"), new_path(spark)
+    files.write_graph_lines(_last(spark, folder).select("*", v), _edges(spark, folder).select("*", v), path)
+    read = lambda name, fields: files.read_graph_lines(spark, path, name).select(F.from_json("value", fields).alias("j")).select("j.*")
+    nodes = read("nodes", "ord long, kind string, signature string").agg(F.sum(F.col("ord").cast("decimal(38,0)")).cast("string").alias("ords"), F.count("kind").alias("kinds"), F.sum(F.length("signature")).alias("signed"))
+    edges = read("edges", "score double").agg(F.count("score").alias("scored"))
+    counts = read("metadata", "node_count long, edge_count long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("node_count", "edge_count")])
+    out = cut_lineage(counts.crossJoin(nodes).crossJoin(edges).select(v, "node_count", "ords", "kinds", "signed", "edge_count", "scored"))
+    remove(spark, path)
+    return out
 
 
 @query("full_context_router", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS bytes, CASE WHEN sum(octet_length(encode(text))) < 60000 THEN 'full' ELSE 'graph' END AS route FROM documents GROUP BY source")

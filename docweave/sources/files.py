@@ -87,8 +87,33 @@ def read_graph(spark: SparkSession, folder: str, form: str = "parquet") -> tuple
     return spark.read.format(form).load(f"{folder}/nodes"), spark.read.format(form).load(f"{folder}/edges")
 
 
+def write_graph_lines(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """JSON Lines by version, a line for each node and edge with all attributes (missing ones are left out), and one of metadata.
+
+    Lines are in order of their places, over files ordered by their names; a task holds a range of places, never a version.
+    """
+    spark = nodes.sparkSession
+    for name, df, keys in (("nodes", nodes, ("ord", "id")), ("edges", edges, ("ord", "source", "target"))):
+        rest = [c for c in df.columns if c not in (*keys, "version_id")]
+        rows = df.repartitionByRange("version_id", *keys).sortWithinPartitions("version_id", *keys, *rest)
+        rows.select("version_id", F.to_json(F.struct(*keys, *rest)).alias("value")).write.mode("overwrite").partitionBy("version_id").option("compression", "gzip").text(f"{folder}/{name}")
+    written = read_graph_lines(spark, folder, "nodes").select("version_id", F.lit(1).alias("n"), F.lit(0).alias("e"))
+    written = written.unionByName(read_graph_lines(spark, folder, "edges").select("version_id", F.lit(0).alias("n"), F.lit(1).alias("e")))
+    count = written.groupBy("version_id").agg(F.sum("n").alias("node_count"), F.sum("e").alias("edge_count"))
+    meta = F.struct("node_count", "edge_count", F.lit("property_graph").alias("format"))
+    count.select("version_id", F.to_json(meta).alias("value")).write.mode("overwrite").partitionBy("version_id").text(f"{folder}/metadata")
+
+
+def read_graph_lines(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """value (a JSON text) and version_id of the lines of nodes, edges or metadata."""
+    return spark.read.schema("value string, version_id string").text(f"{folder}/{name}")
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a version: the whole graph with all attributes as a JSON text, for export of single libraries; missing attributes are left out."""
+    """One row a version: the whole graph with all attributes as a JSON text; missing attributes are left out.
+
+    For single libraries: a text is held by one task and ends at 2 GB. Graphs of any size are written by write_graph_lines.
+    """
     n = nodes.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", *[c for c in nodes.columns if c not in ("ord", "id", "version_id")]))).alias("nodes"))
     e = edges.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target", *[c for c in edges.columns if c not in ("ord", "source", "target", "version_id")]))).alias("edges"))
     both = n.join(e, "version_id", "left")
