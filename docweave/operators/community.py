@@ -1,11 +1,13 @@
-"""Communities of related nodes: connected components as DataFrame rounds, and seeded Louvain on each version's graph."""
+"""Communities of related nodes: connected components as DataFrame rounds, and seeded Louvain on the components of each version's graph."""
 
 from __future__ import annotations
 
 import random
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.session import cut_lineage, forget
@@ -29,7 +31,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("ids share keys")
     level = cut_lineage(ends.select(*[_key(F.col(c).cast(kind), seed).alias(c) for c in ("a", "b")]).where("a <> b"))
-    labels = []
+    root, labels = _roots(level, rounds)
+    found = nodes.join(root, nodes["key"] == root["node"], "left").select("id", F.coalesce("root", "key").alias("root"))
+    found = cut_lineage(found)
+    for t in (nodes, *labels):
+        forget(t)
+    return found.join(found.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+
+
+def _roots(level: DataFrame, rounds: int = 60) -> tuple[DataFrame, list[DataFrame]]:
+    """node and root of every node of level (a, b: keys, a <> b), a table of cut_lineage that goes; and the tables that the result is read from."""
+    root, labels = level.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), []
     while not level.isEmpty():
         if len(labels) == rounds:
             raise RuntimeError("components did not settle")
@@ -39,19 +51,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new = cut_lineage(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
         forget(level)
         level = new
-    root = None
     for k, step in enumerate(reversed(labels)):
         if k:
             above = step.join(root.withColumnRenamed("node", "label"), "label", "left")
             step = above.select("node", F.coalesce("root", "label").alias("root"))
         root = step.toDF("node", "root")
-    if root is None:
-        return nodes.select("id", F.col("id").alias("component"))
-    found = nodes.join(root, nodes["key"] == root["node"], "left").select("id", F.coalesce("root", "key").alias("root"))
-    found = cut_lineage(found)
-    for t in (nodes, *labels):
-        forget(t)
-    return found.join(found.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+    return root, labels
 
 
 def _key(c, seed: int):
@@ -74,73 +79,104 @@ def _labels(level: DataFrame, number: int) -> DataFrame:
 
 def louvain(edges: list[tuple[str, str]], seed: int = 7, resolution: float = 1.0) -> dict[str, int]:
     """Community of each node of one undirected graph: local moves by modularity gain, then the same on the graph of communities."""
-    weight: dict[tuple, float] = {}
-    for a, b in edges:
-        key = (a, b) if a <= b else (b, a)
-        weight[key] = 1.0
-    nodes = sorted({x for e in weight for x in e})
-    member = {n: n for n in nodes}
-    draw = random.Random(seed)
-    level = weight
+    pairs = sorted({(a, b) if a <= b else (b, a) for a, b in edges})
+    nodes = sorted({x for e in pairs for x in e})
+    place = {n: k for k, n in enumerate(nodes)}
+    a, b = (np.array([place[e[k]] for e in pairs], np.int32) for k in (0, 1))
+    return dict(zip(nodes, _louvain(a, b, len(nodes), 2.0 * len(pairs), seed, resolution).tolist(), strict=True))
+
+
+def _louvain(a: np.ndarray, b: np.ndarray, n: int, total: float, seed: int, resolution: float = 1.0) -> np.ndarray:
+    """Communities, numbered from 0, of the nodes 0 to n - 1 of edges a, b. total: twice the weight of the graph that these edges are components of.
+
+    A node is only ever compared with communities of its neighbours, so components settle apart from each other; all they share is total.
+    """
+    w, member, draw = np.ones(len(a)), np.arange(n), random.Random(seed)
     while True:
-        near: dict = {}
-        loops: dict = {}
-        for (a, b), w in level.items():
-            if a == b:
-                loops[a] = loops.get(a, 0) + w
-                near.setdefault(a, {})
-            else:
-                near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0) + w
-                near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0) + w
-        degree = {n: sum(near[n].values()) + 2 * loops.get(n, 0) for n in near}
-        total = sum(degree.values()) or 1.0
-        com = {n: n for n in near}
-        mass = dict(degree)
-        order = sorted(near)
+        loop = a == b
+        ends, far, weight = np.concatenate((a[~loop], b[~loop])), np.concatenate((b[~loop], a[~loop])), np.concatenate((w[~loop], w[~loop]))
+        order = np.argsort(ends, kind="stable")
+        far, weight = far[order], weight[order]
+        at = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=n)))).tolist()
+        degree = np.bincount(ends, weights=weight[np.argsort(order, kind="stable")], minlength=n) + 2 * np.bincount(a[loop], weights=w[loop], minlength=n)
+        del ends, order
+        degree = degree.tolist()
+        com, mass, order = list(range(n)), list(degree), list(range(n))
         draw.shuffle(order)
         moved_any, moved = False, True
         while moved:
             moved = False
-            for n in order:
-                own, links = com[n], {}
-                for m, w in near[n].items():
-                    links[com[m]] = links.get(com[m], 0) + w
-                mass[own] -= degree[n]
-                gain = lambda c, n=n, links=links: links.get(c, 0) - resolution * mass[c] * degree[n] / total
-                best, most = own, gain(own)
+            for k in order:
+                own, links, d = com[k], {}, degree[k]
+                lo, hi = at[k], at[k + 1]
+                for m, x in zip(far[lo:hi].tolist(), weight[lo:hi].tolist(), strict=True):
+                    c = com[m]
+                    links[c] = links.get(c, 0) + x
+                mass[own] -= d
+                best, most = own, links.get(own, 0) - resolution * mass[own] * d / total
                 for c in sorted(links):
-                    if gain(c) > most + 1e-12:
-                        best, most = c, gain(c)
-                mass[best] += degree[n]
+                    gain = links[c] - resolution * mass[c] * d / total
+                    if gain > most + 1e-12:
+                        best, most = c, gain
+                mass[best] += d
                 if best != own:
-                    com[n], moved, moved_any = best, True, True
-        member = {n: com[c] for n, c in member.items()}
+                    com[k], moved, moved_any = best, True, True
+        left, com = np.unique(np.array(com, np.int64), return_inverse=True)
+        member = com[member]
         if not moved_any:
-            break
-        merged: dict = {}
-        for (a, b), w in level.items():
-            x, y = com[a], com[b]
-            key = (x, y) if x <= y else (y, x)
-            merged[key] = merged.get(key, 0) + w
-        level = merged
-    names = {c: k for k, c in enumerate(sorted(set(member.values())))}
-    return {n: names[c] for n, c in member.items()}
+            return member
+        x, y = np.minimum(com[a], com[b]), np.maximum(com[a], com[b])
+        code, same = np.unique(x * len(left) + y, return_inverse=True)
+        a, b, w, n = code // len(left), code % len(left), np.bincount(same, weights=w), len(left)
+
+
+def _solve(edges: pa.Table, seed: int) -> pa.RecordBatch:
+    """version_id, size, first (the least id of the community) and id of the nodes of one component (version_id, root, m, a, b)."""
+    ids = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks], pa.string()).unique().sort()
+    a, b = (pc.index_in(edges[c], ids).combine_chunks().to_numpy() for c in ("a", "b"))
+    found = _louvain(a, b, len(ids), 2.0 * edges["m"][0].as_py(), seed)
+    _, first, which, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+    version = pa.array([edges["version_id"][0].as_py()] * len(ids), pa.string())
+    return pa.RecordBatch.from_arrays([version, pa.array(size[which]), ids.take(pa.array(first[which])), ids], names=["version_id", "size", "first", "id"])
 
 
 def communities(edges: DataFrame, min_size: int = 3, seed: int = 7) -> DataFrame:
-    """version_id, cluster and id: Louvain within each version (a version's graph fits one task: it is one library's documentation), communities of at least min_size nodes, largest first."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(pdf["source"], pdf["target"], strict=True)), seed)
-        groups: dict[int, list[str]] = {}
-        for n, c in found.items():
-            groups.setdefault(c, []).append(n)
-        big = sorted((sorted(g) for g in groups.values() if len(g) >= min_size), key=lambda g: (-len(g), g[0]))
-        rows = [(pdf["version_id"].iloc[0], k, n) for k, g in enumerate(big) for n in g]
-        return pd.DataFrame(rows, columns=["version_id", "cluster", "id"])
-
-    clean = edges.where("source <> target").select("version_id", "source", "target")
-    return clean.groupBy("version_id").applyInPandas(solve, "version_id string, cluster int, id string")
+    """version_id, cluster and id: Louvain within each version, communities of at least min_size nodes, largest first.
+
+    A version's components are dealt over the tasks: none moves a node of another, and the one number that they share, the version's edges, is counted before.
+    A connected component is held by one task, as numbers: about 24 bytes an edge beside its ids.
+    """
+    spark = edges.sparkSession
+    ends = [F.col(c).cast("string") for c in ("source", "target")]
+    clean = edges.where("source <> target").select("version_id", F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    clean = cut_lineage(clean.withColumns({f"_{c}": F.xxhash64("version_id", c) for c in ("a", "b")}))  # ids that share a key share a task, no more
+    root, labels = _roots(cut_lineage(clean.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b")))
+    count = clean.groupBy("version_id").agg(F.count(F.lit(1)).alias("m"))
+    whole = clean.join(root, clean["_a"] == root["node"], "left").join(count.withColumnRenamed("version_id", "_v"), F.col("version_id").eqNullSafe(F.col("_v")))
+    whole = whole.select("version_id", F.coalesce("root", "_a").alias("root"), "m", "a", "b")
+    dealt = whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "version_id", "root").sortWithinPartitions("version_id", "root")
+
+    def part(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            v, r = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            cut = [0, *(k for k in range(1, len(r)) if r[k] != r[k - 1] or v[k] != v[k - 1]), len(r)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if hi > lo:
+                    if held and (held[0].column(1)[0].as_py(), held[0].column(0)[0].as_py()) != (r[lo], v[lo]):
+                        yield _solve(pa.Table.from_batches(held), seed)
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _solve(pa.Table.from_batches(held), seed)
+
+    found = cut_lineage(dealt.mapInArrow(part, "version_id string, size long, first string, id string").where(F.col("size") >= min_size))
+    for t in (clean, *labels):
+        forget(t)
+    place = Window.partitionBy("version_id").orderBy(F.desc("size"), "first")  # a row a community
+    ranks = found.where("id = first").select("version_id", "first", (F.row_number().over(place) - 1).cast("int").alias("cluster"))
+    both = found.alias("f").join(ranks.alias("r"), F.col("f.version_id").eqNullSafe(F.col("r.version_id")) & (F.col("f.first") == F.col("r.first")))
+    return both.select("f.version_id", "cluster", "id")
 
 
 def labelled(members: DataFrame) -> DataFrame:
