@@ -1,10 +1,14 @@
 """Louvain dealt by components against Louvain on a version's whole graph."""
 
+import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docweave.operators import community
+from docweave.plans import QUERIES
+from docweave.session import shared_folder
 
 
 def clique(name, n):
@@ -50,3 +54,16 @@ def test_communities_of_many_components(spark):
 
 def test_communities_of_nothing(spark):
     assert community.communities(spark.createDataFrame([], "version_id string, source string, target string")).collect() == []
+
+
+def test_labels_of_a_version_in_many_components(spark, tmp_path):
+    rows = [("N", 10 * k + s, 10 * k + p) for k in range(60) for s in range(3) for p in range(k % 3 + 1)]
+    spark.createDataFrame(rows, "l_returnflag string, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    shared = f"{shared_folder(spark).removeprefix('file://')}/docweave"
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    found = QUERIES["cluster_labels"](spark, str(tmp_path)).collect()
+    assert sorted(r["node_count"] for r in found) == [4] * 20 + [5] * 20 + [6] * 20 and {r["version_id"] for r in found} == {"shop@N"}
+    assert sorted(int(r["id"].rsplit("::", 1)[1]) for r in found) == list(range(60))
+    last = spark.read.parquet(*[f"{shared}/{x}" for x in set(os.listdir(shared)) - before if spark.read.parquet(f"{shared}/{x}").columns[1:3] == ["size", "first"]])
+    tasks = last.select(F.input_file_name().alias("f")).distinct().count()
+    assert tasks > 1  # one version, many tasks
