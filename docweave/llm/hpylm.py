@@ -376,24 +376,49 @@ def sweep(states: DataFrame, now: Totals, number: int, add: bool) -> DataFrame:
     return new
 
 
+class Seats:
+    """What predicted needs of a bucket, made once for all its blocks: sorted keys, and by sample each dish's customers without its tables' discounts; a last place, 0, is for what is not there."""
+
+    def __init__(self, dishes: Dishes, t2s: list, t1s: list, t0s: list, samples: list[Totals]):
+        self.words, self.samples = dishes.words, samples
+        self.pairs = dishes.pair_word.astype(np.int64) << 9 | dishes.pair_code
+        self.types = dishes.word.astype(np.int64) << 21 | dishes.codes
+        self.counts = np.append(dishes.word_count, 0).astype(np.int64)
+        less = lambda c, d, t: np.append(c - d * t, 0.0)
+        self.less = []
+        for t2, t1, t0, all_ in zip(t2s, t1s, t0s, samples, strict=True):
+            c1, c0 = dishes.up(t2, t1)
+            self.less.append((less(c0, all_.d[0], t0), less(c1, all_.d[1], t1), less(dishes.counts, all_.d[2], t2)))
+
+
 def predict(dishes: Dishes, t2s: list, t1s: list, t0s: list, samples: list[Totals], w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean predictive probability of words after codes, and the words' counts."""
-    n = len(dishes.words)
-    at = np.searchsorted(dishes.words, w)
-    known = (at < n) & (dishes.words[np.minimum(at, n - 1)] == w) if n else np.zeros(len(w), bool)
-    at = np.where(known, at, 0)
-    find = lambda keys, key: (k := np.minimum(np.searchsorted(keys, key), len(keys) - 1), known & (keys[k] == key)) if len(keys) else (np.zeros(len(key), int), np.zeros(len(key), bool))
-    pair, has_pair = find(dishes.pair_word.astype(np.int64) << 9 | dishes.pair_code, at << 9 | code >> SLOT)
-    type_, has_type = find(dishes.word.astype(np.int64) << 21 | dishes.codes, at << 21 | code)
-    take = lambda x, i, ok: np.where(ok, x[i], 0) if len(x) else np.zeros(len(i))
+    return predicted(Seats(dishes, t2s, t1s, t0s, samples), w, code)
+
+
+def predicted(seats: Seats, w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from a bucket that is laid out already."""
+
+    def find(keys: np.ndarray, key: np.ndarray, may: np.ndarray | None = None) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(key), np.int64)
+        k = np.searchsorted(keys, key)
+        hit = keys[np.minimum(k, len(keys) - 1)] == key
+        return np.where(hit if may is None else hit & may, k, len(keys))
+
+    at = find(seats.words, w)
+    known = at < len(seats.words)
+    pair = find(seats.pairs, at << 9 | code >> SLOT, known)
+    type_ = find(seats.types, at << 21 | code, known)
     mean = np.zeros(len(w))
-    for t2, t1, t0, all_ in zip(t2s, t1s, t0s, samples, strict=True):
-        c1, c0 = dishes.up(t2, t1)
-        p = all_.root(take(c0, at, known), take(t0, at, known))
-        p = all_.one(code >> SLOT, take(c1, pair, has_pair), take(t1, pair, has_pair), p)
-        p = all_.two(code, take(dishes.counts, type_, has_type), take(t2, type_, has_type), p)
-        mean += p / len(samples)
-    return mean, take(dishes.word_count, at, known).astype(np.int64)
+    customers = seats.samples[0].c2[code] if seats.samples else None  # one array for all seatings
+    for (zero, one, two), all_ in zip(seats.less, seats.samples, strict=True):
+        p = (zero[at] + (all_.th[0] + all_.d[0] * all_.t0) / (all_.v + 1)) / (all_.th[0] + all_.c0)
+        own = code >> SLOT
+        p = (one[pair] + (all_.th[1] + all_.d[1] * all_.t1)[own] * p) / (all_.th[1] + all_.c1)[own]
+        p = (two[type_] + (all_.th[2] + all_.d[2] * all_.t2[code]) * p) / (all_.th[2] + customers)
+        mean += p / len(seats.samples)
+    return mean, seats.counts[at]
 
 
 def _key(w: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -463,15 +488,14 @@ def score(docs: DataFrame, states: DataFrame, samples: list[Totals], n: int, buc
             state = None
             for r in table.to_pylist():
                 if r["kind"] == 0:
-                    state = (r["bucket"], _open(r))
+                    state = (r["bucket"], Seats(*_open(r), shared.value))
                 elif r["kind"] == 2:
                     yield _batch([(r["chunk"], r["ids"], r["n"], r["known"], r["base"], r["model"], None, r["code"])], back)
                 else:
                     if state is None or state[0] != r["bucket"]:
                         none = np.zeros(0, np.int64)
-                        state = (r["bucket"], (Dishes(none.astype(np.uint64), none, none, none), *[[none] * len(shared.value)] * 3))
-                    dishes, *tables = state[1]
-                    p, c = predict(dishes, *tables, shared.value, _unpack(r["w"], np.uint64), _unpack(r["code"], np.int32).astype(np.int64))
+                        state = (r["bucket"], Seats(Dishes(none.astype(np.uint64), none, none, none), *[[none] * len(shared.value)] * 3, shared.value))
+                    p, c = predicted(state[1], _unpack(r["w"], np.uint64), _unpack(r["code"], np.int32).astype(np.int64))
                     yield _batch([(r["chunk"], None, None, _pack(c), None, _pack(np.log10(p).astype(np.float32)), r["text"], None)], back)
 
     def total(batches):
