@@ -46,6 +46,8 @@ BURN, SAMPLES = 4, 4
 GRID = np.geomspace(0.05, 2000.0, 64)
 CLOSED = 48
 HEAD = 1 << 20
+#: Bits of a key that tell where its like begin among the most frequent pairs.
+FIRST = 20
 #: Tasks of the last step but one of a sum over all restaurants.
 WAYS = 8
 #: Tokens counted before a task sends what it has.
@@ -79,13 +81,20 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _types(w: np.ndarray, code: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order of word and code, with the sum of their counts."""
-    order = np.lexsort((code, w))
-    w, code = w[order], code[order]
-    head = np.ones(len(w), bool)
-    head[1:] = (w[1:] != w[:-1]) | (code[1:] != code[:-1])
-    at = np.flatnonzero(head)
-    total = np.diff(np.append(at, len(w))) if c is None else np.add.reduceat(c[order], at) if len(at) else np.zeros(0, np.int64)
-    return w[at], code[at], total.astype(np.int64)
+    order = np.argsort(w)
+    w = w[order]
+    at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+    words, both = w[at], code[order].astype(np.int64)
+    both += np.repeat(np.arange(len(at)) << (SLOT + 6), np.diff(np.append(at, len(w))))  # a word's place and the code, as one number
+    if c is None:
+        both.sort()
+    else:
+        again = np.argsort(both)
+        both, c = both[again], c[order][again]
+    at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+    total = np.diff(np.append(at, len(both))) if c is None else np.add.reduceat(c, at) if len(at) else np.zeros(0, np.int64)
+    both = both[at]
+    return words[both >> (SLOT + 6)], (both & ((1 << (SLOT + 6)) - 1)).astype(np.int32), total.astype(np.int64)
 
 
 def _runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +103,7 @@ def _runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(w: np.ndarray, buckets: int) -> np.ndarray:
-    return ((w >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    return ((w >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)  # the narrow ones are sorted by digits
 
 
 def trains():
@@ -240,8 +249,10 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, draw: np.random.Genera
     for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True), 2):
         for at in range(lo, hi, 1 << 15):
             rows = many[at : min(hi, at + (1 << 15))]
-            z = log_a[rows, None] * np.arange(1, k + 1) + table[k, 1 : k + 1]
-            t[rows] = 1 + np.argmax(z + draw.gumbel(size=z.shape), axis=1)
+            z = log_a[rows] * np.arange(1, k + 1)[:, None] + table[k, 1 : k + 1, None]
+            z -= z.max(axis=0)
+            run = np.cumsum(np.exp(z), axis=0)
+            t[rows] = 1 + (run[:-1] <= draw.random(len(rows)) * run[-1]).sum(axis=0)
     rest = np.flatnonzero(c > CLOSED)
     if len(rest):
         t[rest] = _many_tables(c[rest].astype(float), np.maximum(a[rest], 1e-300), d, draw)
@@ -447,6 +458,26 @@ def head(states: DataFrame, samples: list[Totals], most: int = HEAD) -> tuple[np
     return key[order], rows["p"].to_numpy()[order], rows["c"].to_numpy()[order]
 
 
+def starts(keys: np.ndarray) -> np.ndarray:
+    """For each value of the first bits of a key, where keys of it begin in the sorted keys."""
+    return np.searchsorted(keys, np.arange(1 << FIRST, dtype=np.uint64) << np.uint64(64 - FIRST)).astype(np.int32)
+
+
+def lookup(keys: np.ndarray, begin: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would stand in keys (at most the last place), and whether it does. Keys are hashes, so few share their first bits."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    last = len(keys) - 1
+    at = np.minimum(begin[key >> np.uint64(64 - FIRST)], last)
+    found = keys[at]
+    more = np.flatnonzero((found < key) & (at < last))
+    while len(more):
+        at[more] += 1
+        found[more] = keys[at[more]]
+        more = more[(found[more] < key[more]) & (at[more] < last)]
+    return at, found == key
+
+
 def score(docs: DataFrame, states: DataFrame, samples: list[Totals], n: int, buckets: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
     spark = docs.sparkSession
@@ -459,6 +490,7 @@ def score(docs: DataFrame, states: DataFrame, samples: list[Totals], n: int, buc
 
     def places(batches):
         keys, probabilities, counts = top.value
+        begin = starts(keys)
         chunk = TaskContext.get().partitionId() << 28
         for batch in batches:
             for lo, hi in pieces(batch.column(1), 8 * PIECE):
@@ -466,8 +498,7 @@ def score(docs: DataFrame, states: DataFrame, samples: list[Totals], n: int, buc
                 w, code, count_ = tokens(texts)
                 text = np.repeat(np.arange(len(count_)), count_)
                 key = _key(w, code)
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                at, hit = lookup(keys, begin, key)
                 sums = [np.bincount(text[hit], weights=x, minlength=len(count_)) for x in (counts[at[hit]] > 0, np.log10(counts[at[hit]] + 0.5), probabilities[at[hit]])]
                 ids = batch.column(0).slice(lo, hi - lo)
                 numbers = ids.fill_null(0).to_numpy()

@@ -54,3 +54,18 @@ def test_one_layout_scores_all_blocks(monkeypatch):
     for w, code, p, c in blocks:
         assert p == pytest.approx([plain(dishes, seats, samples, x, y) for x, y in zip(w, code, strict=True)], rel=1e-12)
         assert c.tolist() == [int(dishes.counts[dishes.word == np.flatnonzero(dishes.words == x)[0]].sum()) if x in dishes.words else 0 for x in w]
+
+
+def test_lookup_and_types_are_those_of_plain_search():
+    draw = np.random.default_rng(5)
+    keys = np.unique(np.concatenate((draw.integers(0, 2**64, 3000, dtype=np.uint64), np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(5, dtype=np.uint64))))
+    asked = np.concatenate((keys, draw.integers(0, 2**64, 3000, dtype=np.uint64), np.arange(50, dtype=np.uint64)))
+    at, hit = hpylm.lookup(keys, hpylm.starts(keys), asked)
+    assert (at == np.minimum(np.searchsorted(keys, asked), len(keys) - 1)).all() and (hit == np.isin(asked, keys)).all()
+    assert not hpylm.lookup(keys[:0], hpylm.starts(keys[:0]), asked)[1].any()
+    w, code, c = keys[draw.integers(0, 50, 4000)], draw.integers(0, 9, 4000).astype(np.int32) * (hpylm.START // 8), draw.integers(1, 5, 4000)
+    for counts in (None, c):
+        want: dict = {}
+        for x, y, z in zip(w.tolist(), code.tolist(), np.ones(4000, int).tolist() if counts is None else c.tolist(), strict=True):
+            want[x, y] = want.get((x, y), 0) + z
+        assert [((int(x), int(y)), int(z)) for x, y, z in zip(*hpylm._types(w, code, counts), strict=True)] == sorted(want.items())
