@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -95,33 +96,12 @@ def _louvain(a: np.ndarray, b: np.ndarray, n: int, total: float, seed: int, reso
     while True:
         loop = a == b
         ends, far, weight = np.concatenate((a[~loop], b[~loop])), np.concatenate((b[~loop], a[~loop])), np.concatenate((w[~loop], w[~loop]))
-        order = np.argsort(ends, kind="stable")
-        far, weight = far[order], weight[order]
-        at = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=n)))).tolist()
-        degree = np.bincount(ends, weights=weight[np.argsort(order, kind="stable")], minlength=n) + 2 * np.bincount(a[loop], weights=w[loop], minlength=n)
+        degree = np.bincount(ends, weights=weight, minlength=n) + 2 * np.bincount(a[loop], weights=w[loop], minlength=n)
+        at, order = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=n)))), np.argsort(ends, kind="stable")
+        far, weight = far[order], weight[order] if (weight != 1).any() else None
         del ends, order
-        degree = degree.tolist()
-        com, mass, order = list(range(n)), list(degree), list(range(n))
-        draw.shuffle(order)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for k in order:
-                own, links, d = com[k], {}, degree[k]
-                lo, hi = at[k], at[k + 1]
-                for m, x in zip(far[lo:hi].tolist(), weight[lo:hi].tolist(), strict=True):
-                    c = com[m]
-                    links[c] = links.get(c, 0) + x
-                mass[own] -= d
-                best, most = own, links.get(own, 0) - resolution * mass[own] * d / total
-                for c in sorted(links):
-                    gain = links[c] - resolution * mass[c] * d / total
-                    if gain > most + 1e-12:
-                        best, most = c, gain
-                mass[best] += d
-                if best != own:
-                    com[k], moved, moved_any = best, True, True
-        left, com = np.unique(np.array(com, np.int64), return_inverse=True)
+        com, moved_any = _moves(far, weight, at, degree, total, draw, resolution)
+        left, com = np.unique(com, return_inverse=True)
         member = com[member]
         if not moved_any:
             return member
@@ -130,16 +110,167 @@ def _louvain(a: np.ndarray, b: np.ndarray, n: int, total: float, seed: int, reso
         a, b, w, n = code // len(left), code % len(left), np.bincount(same, weights=w), len(left)
 
 
+_MANY = 48  # neighbours from which numpy counts them faster than a dictionary
+
+
+def _moves(far: np.ndarray, weight: np.ndarray | None, at: np.ndarray, degree: np.ndarray, total: float, draw: random.Random, resolution: float) -> tuple[np.ndarray, bool]:
+    """Communities after rounds of local moves, and whether any node moved. Node k has the neighbours far[at[k]:at[k + 1]], by weight (None: 1 each).
+
+    A node is passed over when it would stay: none of its neighbours moved since it was looked at, and the degrees moved since then
+    (shift) are below its limit, as they change a difference of its gains by at most 2 * resolution * degree / total each.
+    """
+    n = len(degree)
+    com, mass, limit, order, shift = np.arange(n), degree.copy(), np.where(degree > 0, -1.0, np.inf), list(range(n)), 0.0
+    com_of, mass_of, limit_of, degree_of, at_of = (memoryview(x) for x in (com, mass, limit, degree, at))
+    draw.shuffle(order)
+    small = np.diff(at) < _MANY
+    moved_any, moved = False, n
+    while moved:
+        few, moved = moved < n // 8, 0
+        for part in (order[i : i + 512] for i in range(0, n, 512)):
+            if few:
+                some = np.array(part)
+                some = some[small[some] & (limit[some] <= shift)]
+                if len(some) > 16:
+                    _limits(some, far, weight, at, degree, com, mass, limit, shift, total, resolution)
+            for k in part:
+                if limit_of[k] > shift:
+                    continue
+                own, d, lo, hi = com_of[k], degree_of[k], at_of[k], at_of[k + 1]
+                near = far[lo:hi]
+                mass_of[own] -= d
+                if hi - lo < _MANY:
+                    links = {}
+                    if weight is None:
+                        for c in com[near].tolist():
+                            links[c] = links.get(c, 0) + 1
+                    else:
+                        for c, x in zip(com[near].tolist(), weight[lo:hi].tolist(), strict=True):
+                            links[c] = links.get(c, 0) + x
+                    best, most, second = own, links.pop(own, 0) - resolution * mass_of[own] * d / total, -np.inf
+                    for c in sorted(links):
+                        gain = links[c] - resolution * mass_of[c] * d / total
+                        if gain > most + 1e-12:
+                            best, most, second = c, gain, max(most, second)
+                        elif gain > second:
+                            second = gain
+                else:
+                    best, most, second = _best(com[near], None if weight is None else weight[lo:hi], own, mass, d, total, resolution)
+                mass_of[best] += d
+                room = most - second - _doubt(most)
+                limit_of[k] = shift + _reach(room, d, total, resolution) if room > 0 else -1.0
+                if best != own:
+                    com_of[k] = best
+                    limit[near] = -1.0
+                    moved, shift = moved + 1, shift + d
+        moved_any = moved_any or moved > 0
+    return com, moved_any
+
+
+def _doubt(gain):
+    """What rounding may change in a gain, generously."""
+    return 1e-9 * (1 + abs(gain))
+
+
+def _reach(room, d, total: float, resolution: float):
+    """The degrees that may move elsewhere before a node of degree d whose best community is ahead by room would leave it."""
+    return room * total / (2 * max(abs(resolution), 1e-9) * d)
+
+
+def _best(near: np.ndarray, weight: np.ndarray | None, own: int, mass: np.ndarray, d: float, total: float, resolution: float) -> tuple[int, float, float]:
+    """The community that a node of many neighbours (of communities near) takes, its gain and the next gain; mass is without the node."""
+    if weight is None:
+        near = np.sort(near)
+    else:
+        order = np.argsort(near, kind="stable")
+        near, weight = near[order], weight[order]
+    cut = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
+    found, links = near[cut[:-1]], np.diff(cut) if weight is None else np.add.reduceat(weight, cut[:-1])
+    gain = links - resolution * mass[found] * d / total
+    p = int(np.searchsorted(found, own))
+    if p < len(found) and found[p] == own:
+        stay, gain[p] = float(gain[p]), -np.inf
+    else:
+        stay = -resolution * float(mass[own]) * d / total
+    top = float(gain.max())
+    best, most, place = own, stay, -1
+    if top > stay + 1e-12:
+        for j in np.flatnonzero(gain >= top - _doubt(top)).tolist():  # others are never the last to be taken
+            if (g := float(gain[j])) > most + 1e-12:
+                best, most, place = int(found[j]), g, j
+        gain[place] = -np.inf
+        return best, most, max(stay, float(gain.max()))
+    return best, most, top
+
+
+def _limits(nodes: np.ndarray, far: np.ndarray, weight: np.ndarray | None, at: np.ndarray, degree: np.ndarray, com: np.ndarray, mass: np.ndarray, limit: np.ndarray, shift: float, total: float, resolution: float) -> None:
+    """Sets the limits of some nodes at once; -1 for those that would move."""
+    n, size, d, own = len(degree), at[nodes + 1] - at[nodes], degree[nodes], com[nodes]
+    stay, other = -resolution * (mass[own] - d) * d / total, np.full(len(nodes), -np.inf)
+    links_at = np.arange(size.sum()) + np.repeat(at[nodes] - np.cumsum(size) + size, size)
+    if len(links_at):
+        code = np.repeat(np.arange(len(nodes)), size) * n + com[far[links_at]]
+        order = None if weight is None else np.argsort(code, kind="stable")
+        code = np.sort(code) if order is None else code[order]
+        cut = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
+        links = np.diff(np.append(cut, len(code))) if order is None else np.add.reduceat(weight[links_at][order], cut)
+        k, c = np.divmod(code[cut], n)
+        ours = c == own[k]
+        stay[k[ours]] += links[ours]
+        gain = np.where(ours, -np.inf, links - resolution * mass[c] * d[k] / total)
+        first = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+        other[k[first]] = np.maximum.reduceat(gain, first)
+    room = stay - other - _doubt(stay)
+    limit[nodes] = np.where(room > 0, shift + _reach(room, d, total, resolution), -1.0)
+
+
 def _solve(edges: pa.Table, seed: int) -> pa.RecordBatch:
     """version_id, size, first (the least id of the community) and id of the nodes of one component (version_id, root, m, a, b)."""
-    ids = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks], pa.string()).unique().sort()
-    a, b = (pc.index_in(edges[c], ids).combine_chunks().to_numpy() for c in ("a", "b"))
+    coded = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    by = pc.sort_indices(coded.dictionary)
+    ids, place = coded.dictionary.take(by), np.empty(len(by), np.int32)
+    place[by.to_numpy()] = np.arange(len(by), dtype=np.int32)
+    a, b = np.split(place[coded.indices.to_numpy()], 2)
+    del coded
     found = _louvain(a, b, len(ids), 2.0 * edges["m"][0].as_py(), seed)
     _, first, which, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
     version = pa.array([edges["version_id"][0].as_py()] * len(ids), pa.string())
     return pa.RecordBatch.from_arrays([version, pa.array(size[which]), ids.take(pa.array(first[which])), ids], names=["version_id", "size", "first", "id"])
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges a, b and for each a node that its component shares."""
+    coded = pa.array(np.concatenate((a, b))).dictionary_encode()
+    nodes, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    root, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[root]
+
+
+def _forests(edges: DataFrame, block: int = 1 << 21) -> DataFrame:
+    """Edges a, b (a <> b) with the components of edges (two columns of keys), a table of cut_lineage: each task keeps a forest of what it has read, of at most twice block nodes."""
+
+    def part(batches):
+        a = b = np.empty(0, np.int64)
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if held and (batch is None or sum(map(len, held)) >= block):
+                a, b = _forest(*(np.concatenate([c, *(x.column(k).to_numpy() for x in held)]) for k, c in enumerate((a, b))))
+                held = []
+            if batch is None or len(a) >= block:
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+                a = b = np.empty(0, np.int64)
+
+    return cut_lineage(edges.coalesce(edges.sparkSession.sparkContext.defaultParallelism).mapInArrow(part, "a long, b long"))
+
+
 def communities(edges: DataFrame, min_size: int = 3, seed: int = 7) -> DataFrame:
     """version_id, cluster and id: Louvain within each version, communities of at least min_size nodes, largest first.
 
@@ -148,9 +279,10 @@ def communities(edges: DataFrame, min_size: int = 3, seed: int = 7) -> DataFrame
     """
     spark = edges.sparkSession
     ends = [F.col(c).cast("string") for c in ("source", "target")]
-    clean = edges.where("source <> target").select("version_id", F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    clean = edges.where("source <> target").select("version_id", F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    clean = clean.repartition("version_id", "a").distinct()  # a node's edges together, so that _forests meets few nodes twice
     clean = cut_lineage(clean.withColumns({f"_{c}": F.xxhash64("version_id", c) for c in ("a", "b")}))  # ids that share a key share a task, no more
-    root, labels = _roots(cut_lineage(clean.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b")))
+    root, labels = _roots(_forests(clean.select("_a", "_b").where("_a <> _b")))
     count = clean.groupBy("version_id").agg(F.count(F.lit(1)).alias("m"))
     whole = clean.join(root, clean["_a"] == root["node"], "left").join(count.withColumnRenamed("version_id", "_v"), F.col("version_id").eqNullSafe(F.col("_v")))
     whole = whole.select("version_id", F.coalesce("root", "_a").alias("root"), "m", "a", "b")
@@ -159,11 +291,11 @@ def communities(edges: DataFrame, min_size: int = 3, seed: int = 7) -> DataFrame
     def part(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            v, r = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            cut = [0, *(k for k in range(1, len(r)) if r[k] != r[k - 1] or v[k] != v[k - 1]), len(r)]
+            v, r = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(), batch.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero((r[1:] != r[:-1]) | (v[1:] != v[:-1])) + 1).tolist(), len(r)]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if hi > lo:
-                    if held and (held[0].column(1)[0].as_py(), held[0].column(0)[0].as_py()) != (r[lo], v[lo]):
+                    if held and any(held[0].column(k)[0].as_py() != batch.column(k)[lo].as_py() for k in (0, 1)):
                         yield _solve(pa.Table.from_batches(held), seed)
                         held = []
                     held.append(batch.slice(lo, hi - lo))

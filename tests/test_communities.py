@@ -67,3 +67,94 @@ def test_labels_of_a_version_in_many_components(spark, tmp_path):
     last = spark.read.parquet(*[f"{shared}/{x}" for x in set(os.listdir(shared)) - before if spark.read.parquet(f"{shared}/{x}").columns[1:3] == ["size", "first"]])
     tasks = last.select(F.input_file_name().alias("f")).distinct().count()
     assert tasks > 1  # one version, many tasks
+
+
+def plain(a, b, n, total, seed, resolution):
+    """Louvain that looks at every node in every round."""
+    weight, member, draw = {(x, y): 1 for x, y in zip(a.tolist(), b.tolist(), strict=True)}, list(range(n)), random.Random(seed)
+    while True:
+        near, degree = [{} for _ in range(n)], [0] * n
+        for (x, y), w in weight.items():
+            degree[x] += w
+            degree[y] += w
+            if x != y:
+                near[x][y] = near[y][x] = w
+        com, mass, order, rounds, moved = list(range(n)), list(degree), list(range(n)), 0, True
+        draw.shuffle(order)
+        while moved:
+            rounds, moved = rounds + 1, False
+            for k in order:
+                own, links = com[k], {}
+                for m, w in near[k].items():
+                    links[com[m]] = links.get(com[m], 0) + w
+                mass[own] -= degree[k]
+                best, most = own, links.get(own, 0) - resolution * mass[own] * degree[k] / total
+                for c in sorted(links):
+                    if (gain := links[c] - resolution * mass[c] * degree[k] / total) > most + 1e-12:
+                        best, most = c, gain
+                mass[best] += degree[k]
+                com[k], moved = best, moved or best != own
+        place = {c: k for k, c in enumerate(sorted(set(com)))}
+        com = [place[c] for c in com]
+        member, n, old, weight = [com[m] for m in member], len(place), weight, {}
+        if rounds == 1:
+            return member
+        for (x, y), w in old.items():
+            e = (min(com[x], com[y]), max(com[x], com[y]))
+            weight[e] = weight.get(e, 0) + w
+
+
+def test_passing_over_nodes_changes_no_result():
+    r = np.random.default_rng(3)
+    for k in range(24):
+        n, size = int(r.integers(50, 1500)), int(r.integers(2, 40))
+        x = r.integers(0, n, 8 * n)
+        y = (r.integers(0, n, 8 * n), r.integers(0, n // 20, 8 * n), np.minimum(x // size * size + r.integers(0, size, 8 * n), n - 1))[k % 3]
+        code = np.unique(np.minimum(x, y)[x != y] * n + np.maximum(x, y)[x != y])
+        a, b = code // n, code % n
+        total, resolution = 2.0 * len(a) * (1 + 59 * (k % 2)), (1.0, 0.5, 2.0)[k // 3 % 3]
+        assert community._louvain(a, b, n, total, 7, resolution).tolist() == plain(a, b, n, total, 7, resolution)
+
+
+def test_settled_nodes_are_passed_over(monkeypatch):
+    seen, best = [], community._best
+    monkeypatch.setattr(community, "_best", lambda *x: seen.append(1) or best(*x))
+    monkeypatch.setattr(community, "_MANY", 0)
+    edges = ring("a", 200, 8)
+    n = len({x for e in edges for x in e})
+    assert len(set(community.louvain(edges).values())) < 200
+    assert n <= len(seen) < 3 * n  # every node is looked at in the first round, few afterwards
+
+
+def test_components_are_found_on_forests(spark, monkeypatch):
+    r, met, roots = np.random.default_rng(4), [], community._roots
+    rows = [("l@1", f"s{k % 3}_{s}", f"p{k % 3}_{p}") for k in range(9) for s, p in r.integers(0, 60, (400, 2)).tolist()]
+    monkeypatch.setattr(community, "_roots", lambda level, *x: met.append((level.count(), level.where("a = b").count())) or roots(level, *x))
+    found = {}
+    for c in community.communities(spark.createDataFrame(rows, "version_id string, source string, target string").repartition(7)).collect():
+        found.setdefault(c["cluster"], set()).add(c["id"])
+    want = groups(community.louvain([(s, p) for _, s, p in rows]))
+    assert {frozenset(g) for g in found.values()} == {g for g in want if len(g) >= 3}
+    assert met[0][1] == 0 and met[0][0] < len(set(rows)) / 2
+
+
+def test_forests_of_blocks_keep_components(spark):
+    r = np.random.default_rng(6)
+    pairs = [(int(10**12 + x), int(10**12 + y)) for x, y in r.integers(0, 400, (300, 2)).tolist() if x != y]
+
+    def components(edges):
+        up = {x: x for e in pairs for x in e}
+        for a, b in edges:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        for x in sorted(up):
+            up[x] = up[up[x]]
+        return up
+
+    df = spark.createDataFrame(pairs, "x long, y long").repartition(6)
+    for block in (1, 7, 1 << 21):
+        assert components([tuple(e) for e in community._forests(df, block).collect()]) == components(pairs)
+    assert community._forests(df.where("false")).count() == 0
