@@ -92,22 +92,47 @@ def _louvain(a: np.ndarray, b: np.ndarray, n: int, total: float, seed: int, reso
 
     A node is only ever compared with communities of its neighbours, so components settle apart from each other; all they share is total.
     """
-    w, member, draw = np.ones(len(a)), np.arange(n), random.Random(seed)
+    w, member, draw = None, np.arange(n), random.Random(seed)  # w None: 1 each
     while True:
-        loop = a == b
-        ends, far, weight = np.concatenate((a[~loop], b[~loop])), np.concatenate((b[~loop], a[~loop])), np.concatenate((w[~loop], w[~loop]))
-        degree = np.bincount(ends, weights=weight, minlength=n) + 2 * np.bincount(a[loop], weights=w[loop], minlength=n)
-        at, order = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=n)))), np.argsort(ends, kind="stable")
-        far, weight = far[order], weight[order] if (weight != 1).any() else None
-        del ends, order
+        loop = np.flatnonzero(a == b)
+        x, y, weight = (v if v is None or not len(loop) else np.delete(v, loop) for v in (a, b, w))
+        ends = np.concatenate((x, y))
+        size, order = np.bincount(ends, minlength=n), np.argsort(ends, kind="stable")
+        order = order.astype(np.int32) if len(ends) < 1 << 31 else order
+        del ends
+        far = np.concatenate((y, x))[order]
+        if weight is not None:
+            weight = weight[np.where(order < len(x), order, order - len(x))]
+        del order, x, y
+        at = np.concatenate(([0], np.cumsum(size)))
+        degree = size.astype(float) if weight is None else np.bincount(np.repeat(np.arange(n, dtype=a.dtype), size), weights=weight, minlength=n)
+        degree = degree + 2.0 * np.bincount(a[loop], weights=None if w is None else w[loop], minlength=n)
         com, moved_any = _moves(far, weight, at, degree, total, draw, resolution)
+        del far, weight, at
         left, com = np.unique(com, return_inverse=True)
         member = com[member]
         if not moved_any:
             return member
-        x, y = np.minimum(com[a], com[b]), np.maximum(com[a], com[b])
-        code, same = np.unique(x * len(left) + y, return_inverse=True)
-        a, b, w, n = code // len(left), code % len(left), np.bincount(same, weights=w), len(left)
+        n = len(left)
+        com = com.astype(np.int32 if n < 1 << 31 else np.int64)
+        a, b, w = _merged(com[a], com[b], w, n)
+
+
+def _merged(a: np.ndarray, b: np.ndarray, w: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each undirected edge once, with the sum of its weights."""
+    kind, code = a.dtype, np.minimum(a, b).astype(np.int64)
+    code *= n
+    code += np.maximum(a, b)
+    del a, b
+    if w is None:
+        code.sort()
+    else:
+        order = np.argsort(code, kind="stable")
+        code, w = code[order], w[order]
+    cut = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
+    w = np.diff(np.append(cut, len(code))).astype(float) if w is None else np.add.reduceat(w, cut)
+    code = code[cut]
+    return (code // n).astype(kind), (code % n).astype(kind), w
 
 
 _MANY = 48  # neighbours from which numpy counts them faster than a dictionary
@@ -224,18 +249,42 @@ def _limits(nodes: np.ndarray, far: np.ndarray, weight: np.ndarray | None, at: n
     limit[nodes] = np.where(room > 0, shift + _reach(room, d, total, resolution), -1.0)
 
 
-def _solve(edges: pa.Table, seed: int) -> pa.RecordBatch:
-    """version_id, size, first (the least id of the community) and id of the nodes of one component (version_id, root, m, a, b)."""
-    coded = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks], pa.string()).combine_chunks().dictionary_encode()
-    by = pc.sort_indices(coded.dictionary)
-    ids, place = coded.dictionary.take(by), np.empty(len(by), np.int32)
-    place[by.to_numpy()] = np.arange(len(by), dtype=np.int32)
-    a, b = np.split(place[coded.indices.to_numpy()], 2)
-    del coded
-    found = _louvain(a, b, len(ids), 2.0 * edges["m"][0].as_py(), seed)
-    _, first, which, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
-    version = pa.array([edges["version_id"][0].as_py()] * len(ids), pa.string())
-    return pa.RecordBatch.from_arrays([version, pa.array(size[which]), ids.take(pa.array(first[which])), ids], names=["version_id", "size", "first", "id"])
+class _Component:
+    """The edges of one component, read as batches of version_id, root, m, a, b: ids are kept once, edges as their places."""
+
+    def __init__(self, first: pa.RecordBatch):
+        self.version, self.root, self.m = (first.column(k)[0].as_py() for k in range(3))
+        self.ids, self.places, self.held = pa.array([], pa.string()), [], []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.held.append(batch.select(["a", "b"]))
+        if sum(map(len, self.held)) >= 1 << 18:
+            self._place()
+
+    def _place(self) -> None:
+        coded = pa.concat_arrays([x.column(k) for k in (0, 1) for x in self.held]).dictionary_encode()
+        at = pc.index_in(coded.dictionary, self.ids)
+        new = pc.is_null(at)
+        at = at.fill_null(0).to_numpy().copy()
+        fresh = new.to_numpy(zero_copy_only=False)
+        at[fresh] = np.arange(len(self.ids), len(self.ids) + np.count_nonzero(fresh), dtype=np.int32)
+        self.ids = pa.concat_arrays([self.ids, coded.dictionary.filter(new)])
+        self.places.append(at[coded.indices.to_numpy()].reshape(2, -1))
+        self.held = []
+
+    def solve(self, seed: int) -> pa.RecordBatch:
+        """version_id, size, first (the least id of the community) and id of the nodes."""
+        if self.held:
+            self._place()
+        by = pc.sort_indices(self.ids)
+        ids, place = self.ids.take(by), np.empty(len(by), np.int32)
+        place[by.to_numpy()] = np.arange(len(by), dtype=np.int32)
+        a, b = (np.concatenate([place[x[k]] for x in self.places]) for k in (0, 1))
+        self.ids, self.places = None, []
+        found = _louvain(a, b, len(ids), 2.0 * self.m, seed)
+        _, first, which, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+        version = pa.array([self.version] * len(ids), pa.string())
+        return pa.RecordBatch.from_arrays([version, pa.array(size[which]), ids.take(pa.array(first[which])), ids], names=["version_id", "size", "first", "id"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,6 +301,18 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
+def _stars(nodes: np.ndarray, root: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """The forest as edges: most nodes share a hub, and hubs of a component are linked to its first, so that few keys have many rows."""
+    order = np.argsort(root, kind="stable")
+    nodes, root = nodes[order], root[order]
+    first = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1]))) if len(root) else np.empty(0, np.int64)
+    base = np.repeat(first, np.diff(np.append(first, len(root))))
+    own = np.arange(len(nodes)) - base
+    hub = np.where(own % most == 0, base, base + own // most * most)
+    linked = hub != base + own
+    return nodes[linked], nodes[hub[linked]]
+
+
 def _forests(edges: DataFrame, block: int = 1 << 21) -> DataFrame:
     """Edges a, b (a <> b) with the components of edges (two columns of keys), a table of cut_lineage: each task keeps a forest of what it has read, of at most twice block nodes."""
 
@@ -265,7 +326,7 @@ def _forests(edges: DataFrame, block: int = 1 << 21) -> DataFrame:
                 a, b = _forest(*(np.concatenate([c, *(x.column(k).to_numpy() for x in held)]) for k, c in enumerate((a, b))))
                 held = []
             if batch is None or len(a) >= block:
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(a, b)], names=["a", "b"])
                 a = b = np.empty(0, np.int64)
 
     return cut_lineage(edges.coalesce(edges.sparkSession.sparkContext.defaultParallelism).mapInArrow(part, "a long, b long"))
@@ -289,18 +350,19 @@ def communities(edges: DataFrame, min_size: int = 3, seed: int = 7) -> DataFrame
     dealt = whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "version_id", "root").sortWithinPartitions("version_id", "root")
 
     def part(batches):
-        held: list[pa.RecordBatch] = []
+        one = None
         for batch in batches:
             v, r = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(), batch.column(1).to_numpy()
             cut = [0, *(np.flatnonzero((r[1:] != r[:-1]) | (v[1:] != v[:-1])) + 1).tolist(), len(r)]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if hi > lo:
-                    if held and any(held[0].column(k)[0].as_py() != batch.column(k)[lo].as_py() for k in (0, 1)):
-                        yield _solve(pa.Table.from_batches(held), seed)
-                        held = []
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield _solve(pa.Table.from_batches(held), seed)
+                    if one and (one.version, one.root) != (batch.column(0)[lo].as_py(), batch.column(1)[lo].as_py()):
+                        yield one.solve(seed)
+                        one = None
+                    one = one or _Component(batch.slice(lo, 1))
+                    one.add(batch.slice(lo, hi - lo))
+        if one:
+            yield one.solve(seed)
 
     found = cut_lineage(dealt.mapInArrow(part, "version_id string, size long, first string, id string").where(F.col("size") >= min_size))
     for t in (clean, *labels):

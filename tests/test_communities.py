@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docweave.operators import community
@@ -158,3 +159,28 @@ def test_forests_of_blocks_keep_components(spark):
     for block in (1, 7, 1 << 21):
         assert components([tuple(e) for e in community._forests(df, block).collect()]) == components(pairs)
     assert community._forests(df.where("false")).count() == 0
+
+
+def test_forests_have_no_large_hubs():
+    nodes = np.arange(10, 5010)
+    for root in (np.full(5000, 3010), nodes // 2500 * 2500 + 10, nodes):
+        a, b = community._stars(nodes, root, 100)
+        assert len(a) == 5000 - len(set(root.tolist())) and (a != b).all()
+        assert max([0, *np.unique(b, return_counts=True)[1]]) < 100 + 50
+        assert all(root[x - 10] == root[y - 10] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    assert [len(x) for x in community._stars(nodes[:0], nodes[:0])] == [0, 0]
+
+
+def test_a_component_read_in_many_batches():
+    edges = sorted({(min(e), max(e)) for e in ring("a", 30, 8)})
+    batch = pa.RecordBatch.from_pylist([{"version_id": None, "root": 5, "m": len(edges), "a": a, "b": b} for a, b in edges])
+    one = community._Component(batch.slice(0, 1))
+    for k in range(0, len(edges), 50):
+        one.add(batch.slice(k, 50))
+        one._place()
+    found = one.solve(7)
+    got = {}
+    for r in found.to_pylist():
+        got.setdefault((r["version_id"], r["first"], r["size"]), set()).add(r["id"])
+    assert {frozenset(g) for g in got.values()} == groups(community.louvain(edges))
+    assert all(v is None and min(g) == first and len(g) == size for (v, first, size), g in got.items())
