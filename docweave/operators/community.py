@@ -96,16 +96,15 @@ def _louvain(a: np.ndarray, b: np.ndarray, n: int, total: float, seed: int, reso
     while True:
         loop = np.flatnonzero(a == b)
         x, y, weight = (v if v is None or not len(loop) else np.delete(v, loop) for v in (a, b, w))
-        ends = np.concatenate((x, y))
-        size, order = np.bincount(ends, minlength=n), np.argsort(ends, kind="stable")
-        order = order.astype(np.int32) if len(ends) < 1 << 31 else order
-        del ends
+        size, order = np.bincount(x, minlength=n) + np.bincount(y, minlength=n), _order(x, y)
         far = np.concatenate((y, x))[order]
         if weight is not None:
-            weight = weight[np.where(order < len(x), order, order - len(x))]
+            order[order >= len(x)] -= len(x)
+            weight = weight[order]
         del order, x, y
-        at = np.concatenate(([0], np.cumsum(size)))
-        degree = size.astype(float) if weight is None else np.bincount(np.repeat(np.arange(n, dtype=a.dtype), size), weights=weight, minlength=n)
+        at, degree, linked = np.concatenate(([0], np.cumsum(size))), size.astype(float), np.flatnonzero(size)
+        if weight is not None and len(linked):
+            degree[linked] = np.add.reduceat(weight, at[linked])
         degree = degree + 2.0 * np.bincount(a[loop], weights=None if w is None else w[loop], minlength=n)
         com, moved_any = _moves(far, weight, at, degree, total, draw, resolution)
         del far, weight, at
@@ -115,24 +114,35 @@ def _louvain(a: np.ndarray, b: np.ndarray, n: int, total: float, seed: int, reso
             return member
         n = len(left)
         com = com.astype(np.int32 if n < 1 << 31 else np.int64)
-        a, b, w = _merged(com[a], com[b], w, n)
-
-
-def _merged(a: np.ndarray, b: np.ndarray, w: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each undirected edge once, with the sum of its weights."""
-    kind, code = a.dtype, np.minimum(a, b).astype(np.int64)
-    code *= n
-    code += np.maximum(a, b)
-    del a, b
-    if w is None:
-        code.sort()
-    else:
-        order = np.argsort(code, kind="stable")
-        code, w = code[order], w[order]
-    cut = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
-    w = np.diff(np.append(cut, len(code))).astype(float) if w is None else np.add.reduceat(w, cut)
-    code = code[cut]
-    return (code // n).astype(kind), (code % n).astype(kind), w
+        code = np.minimum(com[a], com[b]).astype(np.int64)  # an edge as one number; each is kept once, with the sum of its weights
+        code *= n
+        code += np.maximum(com[a], com[b])
+        del a, b
+        if w is None:
+            code.sort()
+        else:
+            order = np.argsort(code, kind="stable")
+            code, w = code[order], w[order]
+            del order
+        cut = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
+        w = np.diff(np.append(cut, len(code))).astype(float) if w is None else np.add.reduceat(w, cut)
+        code = code[cut]
+        a, b = (code // n).astype(com.dtype), (code % n).astype(com.dtype)
+        del code, cut
+
+
+def _order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Stable order of x and y, one after the other; by one sort in place where numbers and places fit 64 bits."""
+    m = len(x)
+    if x.dtype != np.int32 or m >= 1 << 31:
+        return np.argsort(np.concatenate((x, y)), kind="stable")
+    key = np.empty(2 * m, np.int64)
+    key[:m], key[m:] = x, y
+    key <<= 32
+    key += np.arange(2 * m, dtype=np.uint32)
+    key.sort()
+    key &= 0xFFFFFFFF
+    return key.astype(np.uint32)
 
 
 _MANY = 48  # neighbours from which numpy counts them faster than a dictionary
@@ -279,9 +289,9 @@ class _Component:
         by = pc.sort_indices(self.ids)
         ids, place = self.ids.take(by), np.empty(len(by), np.int32)
         place[by.to_numpy()] = np.arange(len(by), dtype=np.int32)
-        a, b = (np.concatenate([place[x[k]] for x in self.places]) for k in (0, 1))
+        sides = [np.concatenate([place[x[k]] for x in self.places]) for k in (0, 1)]
         self.ids, self.places = None, []
-        found = _louvain(a, b, len(ids), 2.0 * self.m, seed)
+        found = _louvain(sides.pop(0), sides.pop(), len(ids), 2.0 * self.m, seed)
         _, first, which, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
         version = pa.array([self.version] * len(ids), pa.string())
         return pa.RecordBatch.from_arrays([version, pa.array(size[which]), ids.take(pa.array(first[which])), ids], names=["version_id", "size", "first", "id"])
@@ -336,7 +346,7 @@ def communities(edges: DataFrame, min_size: int = 3, seed: int = 7) -> DataFrame
     """version_id, cluster and id: Louvain within each version, communities of at least min_size nodes, largest first.
 
     A version's components are dealt over the tasks: none moves a node of another, and the one number that they share, the version's edges, is counted before.
-    A connected component is held by one task, as numbers: about 24 bytes an edge beside its ids.
+    A connected component is held by one task, as numbers: at the peak about 100 bytes an edge, ids included (measured on 2.9 million edges of 0.3 million nodes).
     """
     spark = edges.sparkSession
     ends = [F.col(c).cast("string") for c in ("source", "target")]
